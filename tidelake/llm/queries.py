@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, token_counts
+from . import language, licenses, mixing, packing, quality, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -17,10 +18,33 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = language.held_out("doc_id", 5, 0)
+    model = quality.train(docs, _labels(spark, sf_dir).where(~held_out))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(_documents(spark, sf_dir)))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = language.held_out("doc_id", 4, 2)
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -29,7 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op8_source_mix, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_best_fit_packing, op4_license_scan, op6_language_id, op8_source_mix, op9_token_counts)}
 
 #: Hash draws, vocabularies and trained models have no SQL form; tests hold these queries against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -139,3 +139,49 @@ def slices(column: pa.Array, most: int = 4 << 20):
             a, total = i, 0
         total += int(size)
     yield a, len(column)
+
+
+class WordTable:
+    """A row of numbers for each distinct word, worked out when the word is first met.
+
+    Keeps `kept` words at most and then starts anew, so memory stays bounded
+    over any number of texts.
+    """
+
+    def __init__(self, width: int, learn, kept: int = 500_000):
+        self.learn, self.kept, self.width = learn, kept, width
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, U64)
+        self.rows = np.zeros((0, self.width))
+
+    def sums(self, column: pa.Array, word_class: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """For each text, the sum of its words' rows."""
+        buf, offsets = text_buffers(column)
+        starts, ends, firsts = word_spans(buf, offsets, word_class)
+        if not len(starts):
+            return np.zeros((len(column), self.width))
+        distinct, where, inverse = np.unique(span_hashes(buf, starts, ends, table), return_index=True, return_inverse=True)
+        places = self._places(buf, starts, ends, distinct, where)
+        rows = self.rows[places][inverse]
+        totals = np.zeros((len(rows) + 1, self.width))
+        np.cumsum(rows, axis=0, out=totals[1:])
+        return totals[firsts[1:]] - totals[firsts[:-1]]
+
+    def _places(self, buf, starts, ends, distinct, where) -> np.ndarray:
+        at = np.searchsorted(self.known, distinct)
+        at[at == len(self.known)] = 0
+        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if not new.any():
+            return at
+        if len(self.known) > self.kept:
+            self._forget()
+            new[:] = True
+        raw = buf.tobytes()
+        spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
+        rows = self.learn([raw[i:j].decode() for i, j in spans])
+        known = np.concatenate([self.known, distinct[new]])
+        order = np.argsort(known, kind="stable")
+        self.known, self.rows = known[order], np.concatenate([self.rows, rows])[order]
+        return np.searchsorted(self.known, distinct)
