@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, packing, quality, token_counts
+from . import fingerprints, language, licenses, mixing, packing, quality, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -38,6 +38,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(_documents(spark, sf_dir)))
 
 
+def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_next(_documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = language.held_out("doc_id", 4, 2)
@@ -53,7 +57,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_best_fit_packing, op4_license_scan, op6_language_id, op8_source_mix, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_best_fit_packing, op4_license_scan, op5_chunk_fingerprints, op6_language_id, op8_source_mix, op9_token_counts)}
 
 #: Hash draws, vocabularies and trained models have no SQL form; tests hold these queries against brute force.
 ORACLE_SQL: dict[str, str] = {}
