@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, licenses, mixing, packing, quality, token_counts
+from . import embeddings, fingerprints, language, licenses, mixing, packing, quality, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -49,6 +49,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_best_fit_packing, op4_license_scan, op5_chunk_fingerprints, op6_language_id, op8_source_mix, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_best_fit_packing, op4_license_scan, op5_chunk_fingerprints, op6_language_id, op7_embedding_near_dedup, op8_source_mix, op9_token_counts)}
 
 #: Hash draws, vocabularies and trained models have no SQL form; tests hold these queries against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -185,3 +185,37 @@ class WordTable:
         order = np.argsort(known, kind="stable")
         self.known, self.rows = known[order], np.concatenate([self.rows, rows])[order]
         return np.searchsorted(self.known, distinct)
+
+
+def groups(batches, keys: int):
+    """Runs of rows with equal values in the first `keys` columns, as tables; rows come sorted by these."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        changed = np.zeros(len(batch), bool)
+        for column in batch.columns[:keys]:
+            changed[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+        cuts = [0, *np.flatnonzero(changed).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a].as_py() for c in batch.columns[:keys])
+            if waiting and key != last:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            last = key
+            waiting.append(batch.slice(a, b - a))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes, the least node that edges (a, b) connect it to."""
+    label = np.arange(n)
+    while len(a):
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
