@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, language, licenses, mixing, packing, quality, token_counts
+from . import embeddings, fingerprints, language, licenses, lm_scores, mixing, packing, quality, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -34,6 +34,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language.held_out("doc_id", 7, 2)
+    scored = lm_scores.score(_documents(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(_documents(spark, sf_dir)))
 
@@ -61,7 +67,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_best_fit_packing, op4_license_scan, op5_chunk_fingerprints, op6_language_id, op7_embedding_near_dedup, op8_source_mix, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_best_fit_packing, op3_backoff_lm, op4_license_scan, op5_chunk_fingerprints, op6_language_id, op7_embedding_near_dedup, op8_source_mix, op9_token_counts)}
 
 #: Hash draws, vocabularies and trained models have no SQL form; tests hold these queries against brute force.
 ORACLE_SQL: dict[str, str] = {}
