@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, language, licenses, lm_scores, mixing, packing, quality, token_counts
+from . import embeddings, fingerprints, jaccard, language, licenses, lm_scores, mixing, packing, quality, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -67,7 +67,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_best_fit_packing, op3_backoff_lm, op4_license_scan, op5_chunk_fingerprints, op6_language_id, op7_embedding_near_dedup, op8_source_mix, op9_token_counts)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_nb_svm_quality, op2_best_fit_packing, op3_backoff_lm, op4_license_scan, op5_chunk_fingerprints, op6_language_id, op7_embedding_near_dedup, op8_source_mix, op9_token_counts, op10_jaccard_join)}
 
 #: Hash draws, vocabularies and trained models have no SQL form; tests hold these queries against brute force.
 ORACLE_SQL: dict[str, str] = {}
