@@ -41,10 +41,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every table saved so far; frames that still read them stop working."""
-    jvm = spark._jvm
+def mark() -> int:
+    """A point in the order of saving, for `sweep`."""
+    return len(_saved)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables saved since a mark; frames that still read them stop working."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _saved:
-        path = jvm.org.apache.hadoop.fs.Path(_saved.pop())
+    while len(_saved) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_saved.pop())
         path.getFileSystem(conf).delete(path, True)
