@@ -24,7 +24,11 @@ class Changes:
 
     def appended(self, lineage: bool = False) -> DataFrame:
         """Rows that were appended, whether or not they were deleted since."""
-        return self.table.read([(f, None) for f in self.files], self.table.fields(self.until), lineage)
+        return self.table.read([(f, None) for f in self.files], self._fields(), lineage)
+
+    def _fields(self) -> list:
+        """The columns at the window's end, or the first ones of a table made after it."""
+        return self.table.fields(max(self.until, self.table.row()["begin"]))
 
     def deleted(self) -> DataFrame:
         """Row ids that deletion vectors of the window cover and earlier ones did not."""
@@ -44,7 +48,7 @@ class Changes:
         explicit = [f for f, _ in now if f["explicit"]]
         ids = rows.withColumn("rowid", F.col("start") + F.col("__pos"))
         if explicit:
-            carried = self.table.read([(f, None) for f in explicit], self.table.fields(self.until), True).select(F.col("filename").alias("__path"), F.col("file_row_number").alias("__pos"), F.col("rowid").alias("own"))
+            carried = self.table.read([(f, None) for f in explicit], self._fields(), True).select(F.col("filename").alias("__path"), F.col("file_row_number").alias("__pos"), F.col("rowid").alias("own"))
             ids = ids.join(carried, ["__path", "__pos"], "left").withColumn("rowid", F.coalesce("own", "rowid"))
         return ids.select("rowid", "data_file_id", F.col("__pos").alias("file_row_number"))
 

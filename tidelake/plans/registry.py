@@ -1,4 +1,655 @@
-"""Queries of the table engine and the SQL that each must agree with."""
+"""Queries of the table engine and the SQL that each must agree with.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Every query writes its input into tables and reads it back through the engine,
+so agreement shows the operator at work and not only Spark.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import types as ty
+from ..functions import transforms
+from ..functions.coerce import coerce_json
+from ..functions.variant import get, to_variant
+from ..operators import alter as al
+from ..operators import maintenance
+from ..operators.table import Table
+from ..streaming import ingest, planner
+from ..streaming.replicate import Replicator
+from . import algebra, sql
+from .workspace import catalog, filled, fresh, load, new_table, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def lineitem(spark: SparkSession, d: str) -> Table:
+    return table(spark, d, "lineitem", lambda lake: filled(lake, load(spark, d, "lineitem"), partition=[("l_returnflag", "identity")], sort=[("l_shipdate", "asc", "last")]))
+
+
+def orders(spark: SparkSession, d: str) -> Table:
+    """Ordered by date over many files, so that bounds prune."""
+    return table(spark, d, "orders", lambda lake: filled(lake, load(spark, d, "orders").repartitionByRange(8, "o_orderdate"), sort=[("o_orderdate", "asc", "last")]))
+
+
+def events(spark: SparkSession, d: str) -> Table:
+    """Two snapshots: even ids, then odd ones; partitioned by day."""
+    src = load(spark, d, "events")
+    return table(spark, d, "events", lambda lake: filled(lake, src.where("event_id % 2 = 0"), src.where("event_id % 2 = 1"), partition=[("ts", "day")]))
+
+
+def money(c: str) -> Column:
+    """A sum that does not depend on the order of addition."""
+    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+
+
+# -- scans
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price FROM lineitem WHERE l_orderkey % 10 <> 3 AND l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "flagship", lambda lake: _deleted(filled(lake, load(spark, d, "lineitem"), partition=[("l_returnflag", "identity")], sort=[("l_shipdate", "asc", "last")]), "l_orderkey % 10 = 3"))
+    rows = t.scan(where="l_shipdate < timestamp_ntz '2000-01-01 00:00:00'")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), money("l_extendedprice").alias("price"))
+
+
+def _deleted(t: Table, where: str) -> Table:
+    t.delete(where)
+    return t
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    return flagship(spark, d)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity < 5 AND l_returnflag = 'R'")
+def scan_filter_project(spark: SparkSession, d: str) -> DataFrame:
+    return lineitem(spark, d).scan(where="l_quantity < 5 AND l_returnflag = 'R'", columns=["l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
+@query("SELECT count(*) AS n, min(l_orderkey) AS low, max(l_orderkey) AS high FROM lineitem WHERE l_returnflag IN ('A', 'N')")
+def partition_prune_identity(spark: SparkSession, d: str) -> DataFrame:
+    t = lineitem(spark, d)
+    where = "l_returnflag IN ('A', 'N')"
+    assert len(t.plan(where=where)) < len(t.plan())
+    return t.scan(where=where).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-06 12:00:00' GROUP BY 1")
+def partition_prune_day(spark: SparkSession, d: str) -> DataFrame:
+    t = events(spark, d)
+    where = "ts >= '2024-01-05T00:00:00' AND ts < '2024-01-06T12:00:00'"
+    assert len(t.plan(where=where)) < len(t.plan())
+    return t.scan(where=where).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-03-01'")
+def zone_map_prune(spark: SparkSession, d: str) -> DataFrame:
+    t = orders(spark, d)
+    where = "o_orderdate >= '1998-01-01' AND o_orderdate < '1998-03-01'"
+    assert len(t.plan(where=where)) < len(t.plan())
+    return t.scan(where=where, columns=["o_orderkey", "o_custkey"])
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey % 10 <> 3")
+def count_star_metadata(spark: SparkSession, d: str) -> DataFrame:
+    flagship(spark, d)
+    t = table(spark, d, "flagship", None)
+    return spark.createDataFrame([(t.count(),)], "n long")
+
+
+@query("SELECT l_returnflag AS part, CAST(count(*) AS BIGINT) AS records FROM lineitem GROUP BY 1")
+def files_listing_rows(spark: SparkSession, d: str) -> DataFrame:
+    return lineitem(spark, d).files().groupBy(F.col("partition_values")[0].alias("part")).agg(F.sum("record_count").alias("records"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 2 = 0")
+def time_travel_version(spark: SparkSession, d: str) -> DataFrame:
+    t = events(spark, d)
+    return t.scan(_snapshots_of(t)[0], columns=["event_id", "user_id"])
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 2 = 0")
+def time_travel_timestamp(spark: SparkSession, d: str) -> DataFrame:
+    t = events(spark, d)
+    first = _snapshots_of(t)[0]
+    (micros,) = (s["time"] for s in t.catalog.state()["snapshots"] if s["snapshot_id"] == first)
+    moment = dt.datetime.fromtimestamp(micros // 1_000_000, dt.timezone.utc).replace(microsecond=micros % 1_000_000)
+    return t.scan(timestamp=moment, columns=["event_id", "value"])
+
+
+def _snapshots_of(t: Table) -> list[int]:
+    return [s["snapshot_id"] for s in t.catalog.state()["snapshots"] if ["table_inserted_into", t.id] in s["changes"]]
+
+
+@query("SELECT CAST(event_id % 2 AS BIGINT) AS nth, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1")
+def append_two_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    t = events(spark, d)
+    first = _snapshots_of(t)[0]
+    return t.scan(lineage=True).groupBy((F.col("snapshot_id") > first).cast("long").alias("nth")).agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS rowid FROM orders")
+def rowid_lineage(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "orders_by_key", lambda lake: filled(lake, load(spark, d, "orders").orderBy("o_orderkey")))
+    return t.scan(lineage=True).select("o_orderkey", "rowid")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS lowest FROM orders")
+def virtual_file_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Positions are 0 to n-1 in each file, whatever the split."""
+    per_file = orders(spark, d).scan(lineage=True).groupBy("filename").agg(F.count("*").alias("n"), F.count_distinct("file_row_number").alias("d"), F.max("file_row_number").alias("m"))
+    return per_file.agg(F.sum("n").alias("n"), F.min(((F.col("d") == F.col("n")) & (F.col("m") == F.col("n") - 1)).cast("long")).alias("lowest"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dims, label FROM embeddings")
+def scan_nested_list(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "embeddings", lambda lake: filled(lake, load(spark, d, "embeddings")))
+    return t.scan().select("vec_id", F.size("embedding").cast("long").alias("dims"), "label")
+
+
+# -- row-level changes
+
+
+@query("SELECT event_id, event_type FROM events WHERE NOT (event_type = 'error' OR value > 90)")
+def delete_dv(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "events"))
+    t.delete("event_type = 'error'")
+    t.delete("value > 90")
+    return t.scan(columns=["event_id", "event_type"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'PENDING' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1 ELSE o_custkey END AS o_custkey FROM orders")
+def update_dv(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "orders"))
+    t.update("o_orderstatus = 'P'", {"o_orderstatus": "'PENDING'", "o_custkey": "o_custkey + 1"})
+    return t.scan(columns=["o_orderkey", "o_orderstatus", "o_custkey"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'MERGED' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 10000000, 'NEW' FROM customer WHERE c_custkey % 5 = 0")
+def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
+    src = load(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    t = filled(catalog(spark, d), src)
+    changed = src.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("MERGED"))
+    new = src.where("c_custkey % 5 = 0").select((F.col("c_custkey") + 10000000).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"))
+    t.merge(changed.union(new), ["c_custkey"], update={"c_mktsegment": "s.c_mktsegment"})
+    return t.scan()
+
+
+@query("SELECT o_orderstatus, o_orderkey FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderstatus, o_orderkey + 1 FROM orders WHERE o_orderstatus = 'F'")
+def overwrite_partition(spark: SparkSession, d: str) -> DataFrame:
+    src = load(spark, d, "orders").select("o_orderstatus", "o_orderkey")
+    t = filled(catalog(spark, d), src, partition=[("o_orderstatus", "identity")])
+    t.overwrite(src.where("o_orderstatus = 'F'").withColumn("o_orderkey", F.col("o_orderkey") + 1))
+    return t.scan()
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7")
+def truncate_then_append(spark: SparkSession, d: str) -> DataFrame:
+    src = load(spark, d, "customer")
+    t = filled(catalog(spark, d), src)
+    t.truncate()
+    t.append(src.where("c_nationkey = 7"))
+    return t.scan(columns=["c_custkey", "c_name"])
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM supplier) AS suppliers, CAST(1 AS BIGINT) AS snapshots")
+def multi_table_commit(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.table import Transaction
+
+    lake = catalog(spark, d)
+    c, s = load(spark, d, "customer"), load(spark, d, "supplier")
+    a, b = new_table(lake, c), new_table(lake, s)
+    before = lake.head
+    with Transaction(lake) as t:
+        t.append(a, c)
+        t.append(b, s)
+    return spark.createDataFrame([(a.count(), b.count(), lake.head - before)], "customers long, suppliers long, snapshots long")
+
+
+@query("SELECT count(*) AS n FROM customer")
+def idempotent_append(spark: SparkSession, d: str) -> DataFrame:
+    src = load(spark, d, "customer")
+    t = new_table(catalog(spark, d), src)
+    for _ in range(2):
+        t.append(src, key=f"once-{t.uuid}")
+    return t.scan().agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def create_table_as_select(spark: SparkSession, d: str) -> DataFrame:
+    joined = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    return catalog(spark, d).create_table_as("lake", f"ctas_{id(joined)}", joined).scan()
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def replace_table(spark: SparkSession, d: str) -> DataFrame:
+    lake = catalog(spark, d)
+    name = f"replaced_{lake.head}"
+    old = lake.create_table_as("lake", name, load(spark, d, "nation"))
+    return lake.replace_table("lake", name, load(spark, d, "supplier").select("s_suppkey", "s_name"), expected_uuid=old.uuid).scan()
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier")
+def prepared_table_creation(spark: SparkSession, d: str) -> DataFrame:
+    lake = catalog(spark, d)
+    src = load(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    operation = f"op-{lake.head}"
+    lake.prepare_table(operation, "lake", f"prepared_{lake.head}", src.schema, sort=[("s_acctbal", "desc", "last")])
+    lake.publish_table(operation, src)
+    return lake.publish_table(operation).scan()
+
+
+# -- definitions
+
+
+@query("SELECT s_suppkey, CAST(NULL AS VARCHAR) AS note FROM supplier UNION ALL SELECT n_nationkey, n_name FROM nation")
+def add_column_null(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "supplier").select("s_suppkey"))
+    t.alter(al.add_column("note", "string"))
+    t.append(load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("s_suppkey"), F.col("n_name").alias("note")))
+    return t.scan()
+
+
+@query("SELECT s_suppkey AS id, s_name AS title FROM supplier")
+def rename_column(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "supplier").select("s_suppkey", "s_name"))
+    t.alter(al.rename_column("s_suppkey", "id"), al.rename_column("s_name", "title"))
+    return t.scan()
+
+
+@query("SELECT s_suppkey, CAST(NULL AS BIGINT) AS s_name FROM supplier")
+def drop_column_and_reuse_name(spark: SparkSession, d: str) -> DataFrame:
+    """A new column of an old name is another column: the old values do not come back."""
+    t = filled(catalog(spark, d), load(spark, d, "supplier").select("s_suppkey", "s_name"))
+    t.alter(al.drop_column("s_name"))
+    t.alter(al.add_column("s_name", "long"))
+    return t.scan()
+
+
+@query("SELECT CAST(s_nationkey AS BIGINT) AS k FROM supplier UNION ALL SELECT s_suppkey + 3000000000 FROM supplier")
+def promote_int_long(spark: SparkSession, d: str) -> DataFrame:
+    src = load(spark, d, "supplier")
+    t = filled(catalog(spark, d), src.select(F.col("s_nationkey").alias("k")))
+    t.alter(al.promote_column("k", "long"))
+    t.append(src.select((F.col("s_suppkey") + 3000000000).alias("k")))
+    return t.scan()
+
+
+@query("SELECT CAST(CAST(s_nationkey AS FLOAT) AS DOUBLE) AS x FROM supplier UNION ALL SELECT s_acctbal FROM supplier")
+def promote_float_double(spark: SparkSession, d: str) -> DataFrame:
+    src = load(spark, d, "supplier")
+    t = filled(catalog(spark, d), src.select(F.col("s_nationkey").cast("float").alias("x")))
+    t.alter(al.promote_column("x", "double"))
+    t.append(src.select(F.col("s_acctbal").alias("x")))
+    return t.scan()
+
+
+@query("SELECT s_suppkey, s_nationkey AS nation, CAST(NULL AS VARCHAR) AS city FROM supplier")
+def nested_add_field(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "supplier").select("s_suppkey", F.struct(F.col("s_nationkey").alias("nat")).alias("home")))
+    t.alter(al.add_column("home.city", "string"), al.rename_column("home.nat", "nation"))
+    return t.scan().select("s_suppkey", "home.nation", "home.city")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(2 AS BIGINT) AS specs FROM orders WHERE o_orderpriority = '1-URGENT'")
+def partition_spec_evolution(spark: SparkSession, d: str) -> DataFrame:
+    """Files keep the specification they were written under, and prune by it."""
+    src = load(spark, d, "orders")
+    t = filled(catalog(spark, d), src.where("o_orderkey % 2 = 0"), partition=[("o_orderstatus", "identity")])
+    t.alter(al.set_partition_spec([("o_orderpriority", "identity")]))
+    t.append(src.where("o_orderkey % 2 = 1"))
+    return t.scan(where="o_orderpriority = '1-URGENT'").agg(F.count("*").alias("n")).withColumn("specs", F.lit(len({f["spec_id"] for f, _ in t.plan()})).cast("long"))
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1")
+def stored_view(spark: SparkSession, d: str) -> DataFrame:
+    lake = catalog(spark, d)
+    name = f"rich_{lake.head}"
+    t = lake.create_table_as("lake", f"customer_{lake.head}", load(spark, d, "customer"))
+    lake.create_view("lake", name, f"SELECT * FROM lake.{t.info()['name']} WHERE c_acctbal > 5000")
+    return sql.sql(lake, f"SELECT c_nationkey, count(*) AS n FROM lake.{name} GROUP BY 1")
+
+
+# -- partition transforms
+
+
+_EVENT_PARTS = {
+    "year": "CAST(year(ts) - 1970 AS INTEGER)",
+    "month": "CAST((year(ts) - 1970) * 12 + month(ts) - 1 AS INTEGER)",
+    "day": "CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER)",
+    "hour": "CAST(floor(epoch(ts) / 3600) AS INTEGER)",
+}
+
+
+def _transform_query(name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = filled(catalog(spark, d), load(spark, d, "events").select("event_id", "ts"), partition=[("ts", name)])
+        files = t.files().select(F.col("partition_values")[0].cast("int").alias("part"), "record_count")
+        return files.groupBy("part").agg(F.sum("record_count").alias("n"))
+
+    run.__name__ = f"transform_{name}"
+    query(f"SELECT {_EVENT_PARTS[name]} AS part, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")(run)
+
+
+for _name in ("year", "month", "day"):
+    _transform_query(_name)
+
+
+@query(f"SELECT event_id, {_EVENT_PARTS['hour']} AS part FROM events")
+def transform_hour(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).scan().select("event_id", transforms.apply("hour", "timestamp", F.col("ts")).alias("part"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey - ((p_partkey % 7) + 7) % 7 AS BIGINT) AS whole, substr(p_name, 1, 5) AS head FROM part")
+def transform_truncate(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "part"))
+    return t.scan().select("p_partkey", transforms.apply("truncate[7]", "long", F.col("p_partkey")).alias("whole"), transforms.apply("truncate[5]", "string", F.col("p_name")).alias("head"))
+
+
+def _bucket_sql(column: str, relation: str, n: int) -> str:
+    """Murmur3 over eight bytes in masked integer arithmetic, one step to a CTE."""
+    times = lambda x, c: f"((((({x}) >> 16) * {c} & 65535) << 16) + (({x}) & 65535) * {c} & 4294967295)"
+    turned = lambda x, r: f"(((({x}) & {(1 << (32 - r)) - 1}) << {r}) | (({x}) >> {32 - r}))"
+    steps, now = [f"s0 AS (SELECT *, {column} & 4294967295 AS w0, ({column} >> 32) & 4294967295 AS w1, CAST(0 AS BIGINT) AS h0 FROM {relation})"], 0
+
+    def step(**named: str) -> None:
+        nonlocal now
+        steps.append(f"s{now + 1} AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in named.items()) + f" FROM s{now})")
+        now += 1
+
+    for i in (0, 1):
+        step(**{f"a{i}": times(f"w{i}", 3432918353)})
+        step(**{f"b{i}": turned(f"a{i}", 15)})
+        step(**{f"c{i}": times(f"b{i}", 461845907)})
+        step(**{f"d{i}": f"xor(h{i}, c{i})"})
+        step(**{f"e{i}": turned(f"d{i}", 13)})
+        step(**{f"h{i + 1}": f"({times(f'e{i}', 5)} + 3864292196) & 4294967295"})
+    step(f0="xor(h2, 8)")
+    step(f1="xor(f0, f0 >> 16)")
+    step(f2=times("f1", 2246822507))
+    step(f3="xor(f2, f2 >> 13)")
+    step(f4=times("f3", 3266489909))
+    step(f5="xor(f4, f4 >> 16)")
+    return f"WITH {', '.join(steps)} SELECT {column}, CAST((f5 & 2147483647) % {n} AS INTEGER) AS bucket FROM s{now}"
+
+
+@query(_bucket_sql("o_orderkey", "orders", 16))
+def transform_bucket_long(spark: SparkSession, d: str) -> DataFrame:
+    return orders(spark, d).scan().select("o_orderkey", transforms.apply("bucket[16]", "long", F.col("o_orderkey")).alias("bucket"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(o_totalprice > 0) AS BIGINT) AS positive FROM orders WHERE o_custkey = 42")
+def bucket_prune(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "orders_by_customer", lambda lake: filled(lake, load(spark, d, "orders"), partition=[("o_custkey", "bucket[8]")]))
+    assert len(t.plan(where="o_custkey = 42")) == 1
+    return t.scan(where="o_custkey = 42").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 0).alias("positive"))
+
+
+@query()
+def transform_bucket_string(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "customer", lambda lake: filled(lake, load(spark, d, "customer")))
+    return t.scan().select("c_custkey", transforms.apply("bucket[16]", "string", F.col("c_name")).alias("bucket"))
+
+
+@query("SELECT l_returnflag AS value, CAST(1 AS BIGINT) AS files FROM lineitem GROUP BY 1")
+def partition_values_topk(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = lineitem(spark, d).partition_values()
+    return found.select("value", F.least("files", F.lit(1)).alias("files"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def partition_decode(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).partitions().groupBy(F.col("decoded")[0].alias("day")).agg(F.sum("records").alias("n"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS records FROM lineitem WHERE l_returnflag = 'A'")
+def partition_lookup(spark: SparkSession, d: str) -> DataFrame:
+    found = lineitem(spark, d).lookup_partition(["A"])
+    return spark.createDataFrame([(found["totals"]["records"],)], "records long")
+
+
+# -- statistics
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(l_orderkey) AS BIGINT) AS nulls, CAST(min(l_orderkey) AS VARCHAR) AS low, CAST(max(l_orderkey) AS VARCHAR) AS high FROM lineitem")
+def column_stats_file_merge(spark: SparkSession, d: str) -> DataFrame:
+    stats = lineitem(spark, d).column_stats(columns=["l_orderkey"])
+    number = lambda c: F.col(c).cast("long")
+    return stats.agg(F.sum("value_count").alias("n"), F.sum("null_count").alias("nulls"), F.min(number("lower_text")).cast("string").alias("low"), F.max(number("upper_text")).cast("string").alias("high"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, min(o_orderpriority) AS low, max(o_orderpriority) AS high FROM orders")
+def hydrate_deferred_stats(spark: SparkSession, d: str) -> DataFrame:
+    src = load(spark, d, "orders")
+    t = new_table(catalog(spark, d), src)
+    t.append(src, deferred_stats=True)
+    assert t.files().where("stats_state = 'pending'").count()
+    maintenance.hydrate(t)
+    return t.column_stats(columns=["o_orderpriority"]).agg(F.sum("value_count").alias("n"), F.min("lower_text").alias("low"), F.max("upper_text").alias("high"))
+
+
+# -- maintenance
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS rowid FROM orders QUALIFY o_orderkey % 7 <> 0")
+def rowid_stable_after_compaction(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "orders").repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey"))
+    t.delete("o_orderkey % 7 = 0")
+    done = maintenance.compact(t)
+    assert done["files_out"] < done["files_in"]
+    return t.scan(lineage=True).select("o_orderkey", "rowid")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE user_id % 4 <> 0")
+def compaction_unsorted(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "events").repartition(8))
+    t.delete("user_id % 4 = 0")
+    maintenance.compact(t)
+    return t.scan(columns=["event_id", "user_id", "value"])
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, true AS sorted FROM events")
+def compaction_sorted(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "events").repartition(8), sort=[("value", "desc", "last"), ("event_id", "asc", "last")])
+    maintenance.compact(t)
+    return maintenance.is_sorted(t).agg(F.min("sorted").alias("sorted")).crossJoin(spark.createDataFrame([(t.count(),)], "n long")).select("n", "sorted")
+
+
+@query("SELECT event_id FROM events")
+def expiry_and_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """What is still visible survives the removal of everything that is not."""
+    lake = fresh(spark)
+    t = filled(lake, load(spark, d, "events").repartition(6))
+    maintenance.compact(t)
+    lake.set_options(retention_seconds=1)
+    done = maintenance.expire(lake, now_micros=4_000_000_000_000_000)
+    assert done["files"] and maintenance.cleanup(lake)["deleted"]
+    return t.scan(columns=["event_id"])
+
+
+@query("SELECT k AS earliest, greatest(k, least(k + 9, k % 5 + 4, k % 7 + 3, k + 6)) AS floor FROM (SELECT CAST(r_regionkey AS BIGINT) AS k FROM region)")
+def expiry_floor_math(spark: SparkSession, d: str) -> DataFrame:
+    keys = [r.k for r in load(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k")).collect()]
+    return spark.createDataFrame([(k, maintenance.expiry_floor(k, k + 9, k % 5 + 4, k % 7 + 3, 6)) for k in keys], "earliest long, floor long")
+
+
+@query("SELECT CAST(10 AS BIGINT) AS files, CAST(2 AS BIGINT) AS bins FROM region LIMIT 1")
+def compaction_bin_packing(spark: SparkSession, d: str) -> DataFrame:
+    found = maintenance.bins([(1 << 20, i) for i in range(5)] + [(100 << 20, 5 + i) for i in range(5)], 512 << 20)
+    return spark.createDataFrame([(sum(map(len, found)), len(found))], "files long, bins long")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS partitions, CAST(sum(n) AS BIGINT) AS deleted FROM (SELECT l_returnflag, sum(CASE WHEN l_orderkey % 10 = 3 THEN 1 ELSE 0 END) AS n FROM lineitem GROUP BY 1)")
+def partition_debt(spark: SparkSession, d: str) -> DataFrame:
+    flagship(spark, d)
+    t = table(spark, d, "flagship", None)
+    return maintenance.debt(t.catalog).where(F.col("table_id") == t.id).agg(F.count_distinct("partition_values").alias("partitions"), F.sum("deleted").alias("deleted"))
+
+
+# -- changes and streams
+
+
+@query("SELECT event_id FROM events WHERE event_id % 2 = 1")
+def changefeed_appends(spark: SparkSession, d: str) -> DataFrame:
+    t = events(spark, d)
+    return t.changes(_snapshots_of(t)[0]).appended().select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders")
+def changefeed_skips_compaction(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(catalog(spark, d), load(spark, d, "orders").repartition(6))
+    maintenance.compact(t)
+    return t.changes(0).appended().select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 11 = 0")
+def changefeed_deletes(spark: SparkSession, d: str) -> DataFrame:
+    """Deleted row ids of a window, resolved to the rows that an older snapshot had."""
+    t = filled(catalog(spark, d), load(spark, d, "orders").repartition(3))
+    t.delete("o_orderkey % 5 = 0")
+    before = t.catalog.head
+    t.delete("o_orderkey % 11 = 0")
+    gone = t.changes(before).deleted().select("rowid")
+    old = t.changes(0, before).appended(lineage=True).select("o_orderkey", "rowid")
+    again = old.where("o_orderkey % 11 = 0 AND o_orderkey % 5 = 0").select("o_orderkey")
+    return old.join(gone, "rowid").select("o_orderkey").union(again)
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")
+def replication_filter(spark: SparkSession, d: str) -> DataFrame:
+    src = events(spark, d)
+    target = new_table(catalog(spark, d), load(spark, d, "events").select("event_id", "user_id", "value"))
+    replicator = Replicator(src, target, f"copy-{target.id}", ("event_type", "click"), most_snapshots=3)
+    while replicator.run_once():
+        pass
+    return target.scan()
+
+
+@query("SELECT event_id, user_id FROM events WHERE value >= 10")
+def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """A file stream into a table, batch by batch; replayed batches add nothing."""
+    src = load(spark, d, "events")
+    t = new_table(catalog(spark, d), src.select("event_id", "user_id"))
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    write = ingest.sink(t, f"ingest-{t.id}", lambda b: b.where("value >= 10").select("event_id", "user_id"))
+
+    def twice(batch: DataFrame, number: int) -> None:
+        write(batch, number)
+        write(batch, number)
+
+    q = stream.writeStream.foreachBatch(twice).trigger(availableNow=True).option("checkpointLocation", f"{t.catalog.root}/checkpoint-{t.id}").start()
+    q.awaitTermination()
+    return t.scan()
+
+
+@query("SELECT event_id, value FROM events")
+def streaming_changefeed(spark: SparkSession, d: str) -> DataFrame:
+    """The changefeed as a stream into another table."""
+    from ..streaming.source import TideChanges
+
+    src = events(spark, d)
+    target = new_table(catalog(spark, d), load(spark, d, "events").select("event_id", "value"))
+    spark.dataSource.register(TideChanges)
+    stream = spark.readStream.format("tide_changes").option("root", src.catalog.root).option("namespace", "lake").option("table", src.info()["name"]).load()
+    write = ingest.sink(target, f"feed-{target.id}", lambda b: b.select("event_id", "value"))
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{src.catalog.root}/feed-{target.id}").start()
+    q.processAllAvailable()
+    q.stop()
+    return target.scan()
+
+
+@query("SELECT event_type, count(*) AS records, CASE WHEN sum(octet_length(encode(props))) >= 2000000 THEN 'size' WHEN sum(octet_length(encode(props))) >= 1000 THEN 'age' ELSE 'none' END AS lane FROM events GROUP BY 1")
+def flush_planner_lanes(spark: SparkSession, d: str) -> DataFrame:
+    staged = events(spark, d).scan().withColumn("size", F.octet_length("props"))
+    found = staged.groupBy("event_type").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))
+    return found.select("event_type", "records", planner.lane(F.col("bytes"), F.lit(1000), size=2_000_000, floor=1000).alias("lane"))
+
+
+# -- values
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS drop_reason FROM events")
+def json_coerce_events(spark: SparkSession, d: str) -> DataFrame:
+    fields, _ = ty.assign_ids([{"name": "k", "type": "int"}], 1)
+    rows = events(spark, d).scan().withColumn("r", coerce_json(F.col("props"), fields))
+    return rows.select("event_id", "r.k", "r.drop_reason")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def variant_extract_props(spark: SparkSession, d: str) -> DataFrame:
+    src = load(spark, d, "events").select("event_id", to_variant(F.col("props")).alias("v"))
+    t = table(spark, d, "variants", lambda lake: filled(lake, src))
+    return t.scan().select("event_id", get(F.col("v"), "$.k", "long").alias("k"))
+
+
+@query("SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM events")
+def event_date_derive(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.derive_event_columns(events(spark, d).scan()).select("event_id", F.col("event_date").cast("string"))
+
+
+# -- catalog and SQL
+
+
+@query("SELECT 'lineitem' AS source, CAST(count(*) AS BIGINT) AS live FROM lineitem")
+def table_info_totals(spark: SparkSession, d: str) -> DataFrame:
+    t = lineitem(spark, d)
+    return t.catalog.table_info().where(F.col("table_id") == t.id).select(F.lit("lineitem").alias("source"), (F.col("records") - F.col("deleted")).alias("live"))
+
+
+@query("SELECT CAST(3 AS BIGINT) AS snapshots, CAST(1 AS BIGINT) AS dense FROM region LIMIT 1")
+def snapshot_listing(spark: SparkSession, d: str) -> DataFrame:
+    lake = fresh(spark)
+    filled(lake, load(spark, d, "region"))
+    ids = lake.snapshots().select("snapshot_id")
+    return ids.agg(F.count("*").alias("snapshots"), (F.max("snapshot_id") == F.count("*")).cast("long").alias("dense"))
+
+
+@query("SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1")
+def sql_front_end(spark: SparkSession, d: str) -> DataFrame:
+    lake = fresh(spark)
+    load(spark, d, "supplier").createOrReplaceTempView("raw_supplier")
+    for text in (
+        "CREATE TABLE lake.s (s_suppkey BIGINT NOT NULL, s_nationkey INT, s_acctbal DOUBLE)",
+        "INSERT INTO lake.s SELECT s_suppkey, s_nationkey, s_acctbal FROM raw_supplier",
+        "ALTER TABLE lake.s ADD COLUMN note STRING",
+        "UPDATE lake.s SET note = 'odd' WHERE s_suppkey % 2 = 1",
+        "DELETE FROM lake.s WHERE note = 'odd'",
+        "CALL tide_compact('lake.s')",
+    ):
+        sql.sql(lake, text)
+    return sql.sql(lake, "SELECT s_nationkey, count(*) AS n FROM lake.s GROUP BY 1")
+
+
+@query("SELECT count(*) AS then_n, (SELECT count(*) FROM region) AS now_n FROM nation")
+def sql_at_version(spark: SparkSession, d: str) -> DataFrame:
+    lake = fresh(spark)
+    t = filled(lake, load(spark, d, "nation").select(F.col("n_nationkey").alias("k")))
+    at, name = lake.head, t.info()["name"]
+    t.overwrite(load(spark, d, "region").select(F.col("r_regionkey").alias("k")), all_files=True)
+    return sql.sql(lake, f"SELECT (SELECT count(*) FROM lake.{name} AT (VERSION => {at})) AS then_n, (SELECT count(*) FROM lake.{name}) AS now_n")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderstatus DESC NULLS FIRST, o_totalprice ASC NULLS LAST, o_orderkey) AS BIGINT) AS place, o_orderkey FROM orders")
+def sort_spec_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one sorted file stand in the order of the sort specification, ties by row id."""
+    t = filled(catalog(spark, d), load(spark, d, "orders").orderBy("o_orderkey").coalesce(1), sort=[("o_orderstatus", "desc", "first"), ("o_totalprice", "asc", "last"), ("o_orderkey", "asc", "last")])
+    return t.scan(lineage=True).select((F.col("file_row_number") + 1).alias("place"), "o_orderkey")
+
+
+algebra.register(query, lineitem, orders, events)
