@@ -15,9 +15,11 @@ import uuid
 from decimal import Decimal, InvalidOperation
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import types as ty
 from ..errors import CoercionError
@@ -196,16 +198,25 @@ def _key(field: ty.Field, text: str) -> Any:
             raise _refuse("map", f"key is not a {field['type']}") from None
 
 
+def _nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed inside: a dropped record has none of its values."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType), True)
+    return kind
+
+
 def coercer(fields: list[ty.Field]):
     """A UDF: JSON object text -> struct of the columns and ``drop_reason`` (null where the record is whole).
 
     Unknown keys are ignored, absent ones are null.
     """
-    schema = T.StructType([*ty.struct_type(fields, False).fields, T.StructField("drop_reason", T.StringType())])
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    schema = T.StructType([T.StructField(f["name"], _nullable(ty.spark_type(f)), True) for f in fields] + [T.StructField("drop_reason", T.StringType())])
 
-    @F.udf(schema, useArrow=True)
-    def run(text: str | None):
+    kind = to_arrow_type(schema)
+
+    def one(text: str | None) -> dict[str, Any]:
         try:
             if text is None:
                 raise CoercionError("record: no value")
@@ -215,13 +226,29 @@ def coercer(fields: list[ty.Field]):
                 raise CoercionError("record: not JSON") from None
             if not isinstance(v, dict):
                 raise CoercionError("record: not an object")
-            return (*(coerce(f, v.get(f["name"])) for f in fields), None)
+            return {f["name"]: _plain(f, coerce(f, v.get(f["name"]))) for f in fields}
         except CoercionError as e:
-            return (*(None for _ in fields), e.reason)
+            return {"drop_reason": e.reason}
+
+    @F.arrow_udf(schema)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(list(map(one, texts.to_pylist())), kind)
 
     return run
 
 
+def _plain(field: ty.Field, v: Any) -> Any:
+    """A value as Arrow takes it: structs by name, maps as pairs."""
+    children = field.get("children") or []
+    if v is None or not children:
+        return v
+    if field["type"] == "struct":
+        return {c["name"]: _plain(c, x) for c, x in zip(children, v, strict=True)}
+    if field["type"] == "list":
+        return [_plain(children[0], x) for x in v]
+    return [(_plain(children[0], k), _plain(children[1], x)) for k, x in v.items()]
+
+
 def coerce_json(text: Column, fields: list[ty.Field]) -> Column:
     return coercer(fields)(text)
 

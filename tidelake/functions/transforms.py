@@ -126,7 +126,7 @@ def _as_long(c: Column, kind: str) -> Column:
 def micros(c: Column) -> Column:
     """Microseconds since the epoch of a timestamp without zone."""
     days = F.unix_date(c.cast("date")).cast("long")
-    seconds = F.hour(c) * 3600 + F.minute(c) * 60
+    seconds = (F.hour(c) * 3600 + F.minute(c) * 60).cast("long")
     return days * 86_400_000_000 + seconds * 1_000_000 + F.rint(F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
@@ -189,7 +189,8 @@ def value(transform: str, kind: str, v: Any, scale: int = 0) -> Any:
     if name == "truncate":
         if kind in ("string", "json", "binary"):
             return v[:n]
-        return v - v % (Decimal(n).scaleb(-scale) if kind == "decimal" else n)
+        step = Decimal(n).scaleb(-scale) if kind == "decimal" else n
+        return v - (v % step + step) % step
     days = v if kind == "date" else v // 86_400_000_000
     date = dt.date(1970, 1, 1) + dt.timedelta(days)
     return {"year": date.year - 1970, "month": (date.year - 1970) * 12 + date.month - 1, "day": days, "hour": v // 3_600_000_000}[name]

@@ -62,8 +62,6 @@ class Replicator:
     def rows(self, after: int, until: int) -> DataFrame:
         source, target = self._resolved()
         changes = source.changes(after, until)
-        if changes.vectors:
-            raise Unsupported("the window deletes rows")
         columns = project(changes._fields(), target.fields())
         rows = changes.appended()
         if self.match:
@@ -78,6 +76,8 @@ class Replicator:
         if span is None:
             return None
         changes = source.changes(*span)
+        if changes.vectors:
+            raise Unsupported("the window deletes rows")
         if sum(f["record_count"] for f in changes.files) != changes.appended().count():
             raise Invalid("the window's files hold fewer rows than registered")
         key = f"replicate/{self.consumer}/{source.uuid}/{span[0]}-{span[1]}"
