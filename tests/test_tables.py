@@ -310,6 +310,8 @@ def test_hydration_and_uploads(spark, lake, tmp_path):
 def test_catalog_rules(spark, lake):
     with pytest.raises(AlreadyExists):
         Catalog.create(spark, lake.root)
+    folder, name = lake.root.rsplit("/", 1)
+    assert Catalog.catalogs(spark, folder) == [name]
     with pytest.raises(AlreadyExists):
         lake.create_namespace("ns")
     t = lake.create_table("ns", "a", points(spark).schema)
@@ -360,6 +362,14 @@ def test_metadata_frames(spark, lake):
     assert lake.usage()["live_files"] == 2 and lake.export()["head"] == lake.head
 
 
+def test_doubling(spark, lake):
+    from tidelake.sources.seed import double_until
+
+    t = lake.create_table("ns", "seed", points(spark).schema)
+    t.append(points(spark))
+    assert double_until(t, 10) == 10 and t.scan().count() == 10
+
+
 def test_sql(spark, lake):
     for text in ("CREATE TABLE ns.t (id BIGINT NOT NULL, p DECIMAL(9,2), s STRING)", "INSERT INTO ns.t VALUES (1, 2.50, 'a'), (2, 3, 'b')"):
         sql(lake, text)
