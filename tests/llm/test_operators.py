@@ -41,6 +41,7 @@ def test_quality_learns_and_handles_odd_rows(spark, docs):
     odd = quality.score(docs, model).collect()
     assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd)
     assert quality.score(empty(docs), model).count() == 0
+    assert quality.score(docs, quality.train(train, empty(labels))).count() == docs.count()
     one = quality.train(train, labels.where("quality = 1"))
     assert {r.score > 0.99 for r in quality.score(docs, one).collect()} == {True}
     assert quality.keep_good(train, model).columns == train.columns and quality.keep_good(train, model).count() == 60

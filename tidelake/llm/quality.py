@@ -168,6 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(drawn), texts.id == drawn[id_col]).select("text", "label", F.xxhash64("id", "text").alias("h"))
     packed = joined.repartition(1).sortWithinPartitions("h").select("text", "label").mapInArrow(_trainer, "model binary").head()
+    if packed is None:  # no partition at all
+        return fit([], np.zeros(0, np.int64))
     numbers = np.frombuffer(zlib.decompress(packed.model), "<f8")
     return QualityModel(numbers[3 : 3 + (1 << BITS)], numbers[3 + (1 << BITS) :], *map(float, numbers[:3]))
 
