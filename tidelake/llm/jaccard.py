@@ -6,8 +6,8 @@ their own: sets share it with a chance of their Jaccard similarity.  A bucket
 that stays larger than `LIMIT` is split again, on `BRANCHES` further tokens
 sampled by the bucket's path, so dissimilar sets part while similar ones go on
 together in some branch.  Small buckets are compared by brute force on the
-embedded tuples, and so is whatever is still large after `DEPTH` splits, block
-against block in separate tasks: no bucket is capped.  Runs are repeated until a
+embedded tuples, and so are dense ones and whatever is still large after `DEPTH`
+splits, block against block in separate tasks: no bucket is capped.  Runs are repeated until a
 pair at the threshold is found with at least `RECALL`.
 
 Candidates only serve to bring documents together: the components they form
@@ -43,7 +43,11 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Minwise tokens of a set.
 TUPLE = 64
 RECALL = 0.9999
-LIMIT, BRANCHES, DEPTH = 512, 2, 3
+LIMIT, BRANCHES, DEPTH = 1024, 2, 3
+#: A split that leaves this part of a bucket together shows it as dense.
+DENSE = 0.5
+#: Documents of a component that one task verifies against as many others.
+BLOCK = 512
 
 _ODD = np.random.Generator(np.random.PCG64(10)).integers(0, 1 << 63, TUPLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,29 +180,38 @@ def _verifier(threshold: float):
     return verify
 
 
-def _dealt(rows: DataFrame, key: str, count: str) -> DataFrame:
-    """Rows in units (key, x, y): one for a group within the limit, else one for each pair of its blocks."""
-    blocks = F.ceil(F.col(count) / LIMIT)
+def _dealt(rows: DataFrame, count: str, limit: int) -> DataFrame:
+    """Rows in units (x, y) of their group: one for a group within the limit, else one for each pair of its blocks."""
+    blocks = F.ceil(F.col(count) / limit)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     return rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", count)
 
 
 def _buckets(nodes: DataFrame, runs: int) -> DataFrame:
-    """(bucket, node, count): small buckets of all runs, and those still large after the last split."""
-    done = None
+    """(bucket, node, count): the buckets of all runs that are compared by brute force.
+
+    These are the small ones, the dense ones (a split would leave most of their
+    members together, so they are similar already and splitting only repeats
+    them), and those still large after the last split.
+    """
     rows = nodes.select("node", F.posexplode(F.slice("tuple", 1, runs)).alias("run", "token")).select("node", F.xxhash64("run", "token").alias("bucket"))
+    done = None
     for depth in range(DEPTH + 1):
         sizes = scratch.save(rows.groupBy("bucket").count().where("count > 1"), "join-buckets")
-        met = rows.join(sizes, "bucket")
-        ready = met if depth == DEPTH else met.where(F.col("count") <= LIMIT)
-        ready = ready.select("bucket", "node", "count")
+        met = rows.join(sizes, "bucket").select("bucket", "node", "count")
+        last = depth == DEPTH or sizes.where(F.col("count") > LIMIT).isEmpty()
+        ready = met if last else met.where(F.col("count") <= LIMIT)
         done = ready if done is None else done.union(ready)
-        if depth == DEPTH or sizes.where(F.col("count") > LIMIT).isEmpty():
-            return done
-        large = met.where(F.col("count") > LIMIT).select("bucket", "node").join(nodes.select("node", "tuple"), "node")
+        if last:
+            break
+        large = met.where(F.col("count") > LIMIT)
         place = (runs + F.pmod(F.xxhash64("bucket", "branch"), F.lit(TUPLE - runs))).cast("int")
-        large = large.withColumn("branch", F.explode(F.array(*map(F.lit, range(BRANCHES))))).withColumn("place", place)
-        rows = scratch.save(large.select("node", F.xxhash64("bucket", "place", F.col("tuple")[F.col("place")]).alias("bucket")), "join-split")
+        split = large.join(nodes.select("node", "tuple"), "node").withColumn("branch", F.explode(F.array(*map(F.lit, range(BRANCHES))))).withColumn("place", place)
+        split = scratch.save(split.select("node", F.col("bucket").alias("parent"), F.xxhash64("bucket", "place", F.col("tuple")[F.col("place")]).alias("bucket")), "join-split")
+        parts = split.groupBy("parent", "bucket").count().groupBy("parent").agg(F.max("count").alias("most")).join(sizes.withColumnRenamed("bucket", "parent"), "parent")
+        dense = scratch.save(parts.where(F.col("most") >= DENSE * F.col("count")).select("parent", "count"), "join-dense")
+        done = done.union(large.join(dense.select(F.col("parent").alias("bucket")), "bucket", "left_semi"))
+        rows = split.join(dense, "parent", "left_anti").select("node", "bucket")
     return done
 
 
@@ -213,7 +226,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     nodes = sets.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h")).alias("any_first"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("id_first"), F.first("size").alias("size"), F.first("tuple").alias("tuple"))
     nodes = scratch.save(nodes.withColumn("first", F.coalesce("id_first", "any_first")).drop("id_first", "any_first"), "join-nodes")
 
-    units = _dealt(_buckets(nodes, runs), "bucket", "count").join(nodes.select("node", "size", "tuple"), "node")
+    units = _dealt(_buckets(nodes, runs), "count", LIMIT).join(nodes.select("node", "size", "tuple"), "node")
     unit = ["bucket", "x", "y"]
     units = units.select(*unit, "block", "node", "size", "tuple").repartition(parts, *unit).sortWithinPartitions(*unit)
     near = components.connected_components(units.mapInArrow(_candidates(threshold), "a long, b long"))
@@ -223,7 +236,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     wanted = wanted.select("component", "count", "node", "copies", "id", "text_hash")
     texts = wanted.join(rows, wanted.id.eqNullSafe(rows.doc_id) & (wanted.text_hash == rows.h)).select("component", "count", "node", "copies", "text")
     unit = ["component", "x", "y"]
-    texts = _dealt(texts, "component", "count").select(*unit, "block", "node", "copies", "text")
+    texts = _dealt(texts, "count", BLOCK).select(*unit, "block", "node", "copies", "text")
     links = texts.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_verifier(threshold), "a long, b long, links long")
     links = scratch.save(links, "join-links")
 
