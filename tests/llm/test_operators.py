@@ -47,8 +47,9 @@ def test_quality_learns_and_handles_odd_rows(spark, docs):
     assert quality.keep_good(train, model).columns == train.columns and quality.keep_good(train, model).count() == 60
 
 
-def test_quality_held_out(spark):
-    labelled = queries.op1_nb_svm_quality(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+def test_quality_held_out(spark, sf):
+    larger = sf.replace("sf0.001", "sf0.01")
+    labelled = queries.op1_nb_svm_quality(spark, larger).where("held_out").join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id")
     assert labelled.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).head()[0] > 0.88
 
 
