@@ -28,11 +28,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hook = scratch.save(nearest.select("node", F.least(own, "best")["b"].alias("parent")), "hooks")
         hooks.append(hook)
         moved = edges.join(hook.withColumnsRenamed({"node": "a", "parent": "pa"}), "a").join(hook.withColumnsRenamed({"node": "b", "parent": "pb"}), "b")
-        edges = scratch.save(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        before, edges = edges, scratch.save(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        scratch.drop(before)
     if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = hooks[0].withColumnRenamed("parent", "component")
     for hook in hooks[1:]:
         later = hook.withColumnsRenamed({"node": "component", "parent": "next"})
         found = found.join(later, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    return scratch.save(found, "components")
+    found = scratch.save(found, "components")
+    scratch.drop(edges, *hooks)
+    return found

@@ -162,7 +162,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
         tables = tables * (1 if functions == 1 else 2 * functions)
     per_table = 1 + functions * (probes - 1)
     kind = nodes.schema["v"].dataType.simpleString()
-    coded = nodes.select("node", "v", F.size("v").alias("dim"), "label", "copies").mapInArrow(_coder(tables, functions, probes), f"node long, v {kind}, dim int, label {nodes.schema['label'].dataType.simpleString()}, copies long, codes array<long>")
+    coded = nodes.select("node", "v", F.size("v").alias("dim"), "label", "copies").mapInArrow(textkit.task(_coder(tables, functions, probes)), f"node long, v {kind}, dim int, label {nodes.schema['label'].dataType.simpleString()}, copies long, codes array<long>")
     coded = scratch.save(coded, "vec-codes")
     spread = coded.select("node", "label", "dim", F.posexplode("codes").alias("pos", "bucket")).select("node", "label", "dim", F.floor(F.col("pos") / per_table).cast("int").alias("table"), "bucket")
     sizes = scratch.save(spread.groupBy("label", "dim", "table", "bucket").count().where("count > 1"), "vec-buckets")
@@ -173,7 +173,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     unit = ["label", "dim", "table", "bucket", "x", "y"]
     full = met.join(coded.select("node", "copies", "v", "codes"), "node").select(*unit, "block", "node", "copies", "v", "codes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = scratch.save(full.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_verifier(tables, threshold), "a long, b long, links long"), "vec-links")
+    links = scratch.save(full.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(textkit.task(_verifier(tables, threshold)), "a long, b long, links long"), "vec-links")
+    scratch.drop(coded, sizes)
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     comps = components.connected_components(links.select("a", "b"))
     named = nodes.select("node", "first", "copies").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -7,6 +7,8 @@ is unset, as in tests on one machine, a temporary folder is made.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,18 +29,45 @@ def root(spark: SparkSession) -> str:
     return f"file://{_local_root}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, swept: bool = True) -> str:
     path = f"{root(spark)}/tidelake/{name}-{uuid.uuid4().hex}"
-    _saved.append(path)
+    if swept:
+        _saved.append(path)
     return path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows as Parquet to the shared folder and return a frame that reads them."""
+def save(df: DataFrame, name: str, swept: bool = True) -> DataFrame:
+    """Write the rows as Parquet to the shared folder and return a frame that reads them.
+
+    What is not `swept` stays until it is dropped.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, swept)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved._scratch_path = path
+    return saved
+
+
+def drop(*saved: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for df in saved:
+        _delete(df.sparkSession, df._scratch_path)
+        if df._scratch_path in _saved:
+            _saved.remove(df._scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table that is read in fewer parts than there are cores, dealt to all cores; others as they are."""
+    if rows._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":  # shuffled already
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.rdd().getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def mark() -> int:
@@ -48,7 +77,14 @@ def mark() -> int:
 
 def sweep(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables saved since a mark; frames that still read them stop working."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while len(_saved) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_saved.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _saved.pop())
+
+
+@atexit.register
+def _at_exit() -> None:
+    """What results still read goes when the driver ends, where its session is still there."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the driver's JVM may be gone already
+            sweep(spark)

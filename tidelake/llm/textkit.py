@@ -8,13 +8,16 @@ two distinct words collide with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes hashed at a time; bounds the working memory whatever the text's length.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MULT_INV = pow(_MULT, -1, 1 << 64)
 
@@ -35,20 +38,23 @@ SPACE_WORD[[9, 10, 11, 12, 13, 32]] = False
 LETTER_WORD = np.zeros(256, bool)
 LETTER_WORD[48:58] = LETTER_WORD[65:91] = LETTER_WORD[97:123] = LETTER_WORD[128:] = True
 
-_powers = np.ones(1, U64)
-_inverse = np.ones(1, U64)
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > BLOCK + 1:  # one word of over a block: its tables are not kept
+        return _make_powers(n)
+    return _block_powers()
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, BLOCK + 1)
-        steps = np.full(n, _MULT, U64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-        steps[1:] = _MULT_INV
-        _inverse = np.multiply.accumulate(steps)
-    return _powers, _inverse
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.full(n, _MULT, U64)
+    steps[0] = 1
+    powers = np.multiply.accumulate(steps)
+    steps[1:] = _MULT_INV
+    return powers, np.multiply.accumulate(steps)
+
+
+@functools.cache
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _make_powers(BLOCK + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -141,20 +147,103 @@ def slices(column: pa.Array, most: int = 4 << 20):
     yield a, len(column)
 
 
+#: Bytes of words' numbers that a task keeps; longer words than `LONG` bytes are never kept as text.
+KEPT_BYTES = 48 << 20
+LONG = 256
+
+
+_CODEC = pa.Codec("zstd", 1)
+
+
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Compressed bytes of an integer array, plane by plane."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def expand(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(_CODEC.decompress(data[8:], 8 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed differences."""
+    return squeeze(np.diff(keys, prepend=np.zeros(1, keys.dtype)))
+
+
+def expand_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(expand(data), dtype=U64)
+
+
+class Growing:
+    """An array that rows are appended to."""
+
+    def __init__(self, dtype, *shape: int):
+        self._data, self.n = np.zeros((1024, *shape), dtype), 0
+
+    def append(self, rows: np.ndarray) -> None:
+        end = self.n + len(rows)
+        if end > len(self._data):
+            wider = np.zeros((max(end, 2 * len(self._data)), *self._data.shape[1:]), self._data.dtype)
+            wider[: self.n] = self._data[: self.n]
+            self._data = wider
+        self._data[self.n : end] = rows
+        self.n = end
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self._data[: self.n]
+
+
+class KeyIndex:
+    """Places of 64-bit keys, numbered as they come.
+
+    Keys wait in sorted levels, each over twice as large as the next, so adding
+    costs a merge now and then instead of a sort of all keys each time.
+    """
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out = np.full(len(keys), -1)
+        for known, places in self.levels:
+            at = np.searchsorted(known, keys)
+            at[at == len(known)] = 0
+            hit = known[at] == keys
+            out[hit] = places[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Places for ascending keys that are not here yet."""
+        places = np.arange(self.n, self.n + len(keys))
+        self.n += len(keys)
+        known, at = keys, places
+        while self.levels and len(self.levels[-1][0]) < 2 * len(known):
+            older, older_at = self.levels.pop()
+            known, at = np.concatenate([older, known]), np.concatenate([older_at, at])
+            order = np.argsort(known, kind="stable")
+            known, at = known[order], at[order]
+        self.levels.append((known, at))
+        return places
+
+
 class WordTable:
     """A row of numbers for each distinct word, worked out when the word is first met.
 
-    Keeps `kept` words at most and then starts anew, so memory stays bounded
-    over any number of texts.
+    Keeps about `KEPT_BYTES` of them and then starts anew, so memory stays
+    bounded over any number of texts.
     """
 
-    def __init__(self, width: int, learn, kept: int = 500_000):
-        self.learn, self.kept, self.width = learn, kept, width
+    def __init__(self, width: int, learn):
+        self.learn, self.width = learn, width
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, U64)
-        self.rows = np.zeros((0, self.width))
+        self.index, self.kept = KeyIndex(), Growing(np.float64, self.width)
 
     def sums(self, column: pa.Array, word_class: np.ndarray, table: np.ndarray) -> np.ndarray:
         """For each text, the sum of its words' rows."""
@@ -163,28 +252,57 @@ class WordTable:
         if not len(starts):
             return np.zeros((len(column), self.width))
         distinct, where, inverse = np.unique(span_hashes(buf, starts, ends, table), return_index=True, return_inverse=True)
-        places = self._places(buf, starts, ends, distinct, where)
-        rows = self.rows[places][inverse]
-        totals = np.zeros((len(rows) + 1, self.width))
-        np.cumsum(rows, axis=0, out=totals[1:])
+        rows = self._rows(buf, starts, ends, distinct, where)
+        totals = np.zeros((len(starts) + 1, self.width))
+        np.cumsum(rows[inverse], axis=0, out=totals[1:])
         return totals[firsts[1:]] - totals[firsts[:-1]]
 
-    def _places(self, buf, starts, ends, distinct, where) -> np.ndarray:
-        at = np.searchsorted(self.known, distinct)
-        at[at == len(self.known)] = 0
-        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        if not new.any():
-            return at
-        if len(self.known) > self.kept:
-            self._forget()
-            new[:] = True
-        raw = buf.tobytes()
-        spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
-        rows = self.learn([raw[i:j].decode() for i, j in spans])
-        known = np.concatenate([self.known, distinct[new]])
-        order = np.argsort(known, kind="stable")
-        self.known, self.rows = known[order], np.concatenate([self.rows, rows])[order]
-        return np.searchsorted(self.known, distinct)
+    def _rows(self, buf, starts, ends, distinct, where) -> np.ndarray:
+        places = self.index.find(distinct)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            if self.index.n * (16 + 8 * self.width) > KEPT_BYTES:
+                self._forget()
+                new = np.arange(len(distinct))
+            raw = buf.tobytes()
+            spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
+            self.kept.append(self.learn([raw[i:j].decode() for i, j in spans]))
+            places[new] = self.index.add(distinct[new])
+        return self.kept.rows[places]
+
+
+def release() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _find_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # another C library
+        return None
+
+
+_trim = _find_trim()
+
+
+def task(run):
+    """A function of Arrow batches that gives its memory back when its task ends.
+
+    Python workers serve task after task and stage after stage; what one leaves
+    behind would add up in them.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def groups(batches, keys: int):
@@ -209,6 +327,39 @@ def groups(batches, keys: int):
         yield pa.Table.from_batches(waiting)
 
 
+def runs(batches, keys: int, rows: int = 20_000):
+    """Many whole groups at a time of rows with equal values in the first `keys` integer columns, by which they come sorted.
+
+    Yields tables of at least `rows` rows (less at the end) and the starts of
+    their groups, with the end of the last.
+    """
+    waiting: list[pa.RecordBatch] = []
+    n = 0
+
+    def starts_of(table: pa.Table) -> np.ndarray:
+        changed = np.zeros(len(table), bool)
+        changed[0] = True
+        for column in table.columns[:keys]:
+            values = column.to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        return np.append(np.flatnonzero(changed), len(table))
+
+    for batch in batches:
+        if len(batch):
+            waiting.append(batch)
+            n += len(batch)
+        if n >= rows:
+            table = pa.Table.from_batches(waiting)
+            starts = starts_of(table)
+            last = int(starts[-2])
+            if last:
+                yield table.slice(0, last), starts[:-1]
+            waiting, n = table.slice(last).to_batches(), n - last
+    if waiting:
+        table = pa.Table.from_batches(waiting)
+        yield table, starts_of(table)
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes, the least node that edges (a, b) connect it to."""
     label = np.arange(n)
