@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit
+
 #: Chunk sizes in bytes: least, normal, largest (fits in one byte).
 LEAST, NORMAL, LARGEST = 16, 64, 240
 #: Boundary masks: one in 256 places before the normal size, one in 16 after it.
@@ -102,7 +104,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fingerprint string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(textkit.task(_fingerprints), f"doc_id {kind}, fingerprint string")
 
 
 _LOWEST = -(1 << 63)
@@ -180,11 +182,11 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 best[p] = max(best.get(p, _LOWEST), int(high[p]))
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], ["part", "top"])
 
-    highest = {r.part: r.top for r in rows.select("doc_id").mapInArrow(tops, "part int, top long").groupBy("part").agg(F.max("top").alias("top")).collect()}
+    highest = {r.part: r.top for r in rows.select("doc_id").mapInArrow(textkit.task(tops), "part int, top long").groupBy("part").agg(F.max("top").alias("top")).collect()}
     if not highest:
         return spark.createDataFrame([], _OUT_DDL)
     order = sorted(highest)
     closing = {highest[p]: order[(i + 1) % len(order)] for i, p in enumerate(order)}
-    dealt = rows.mapInArrow(_dealer(cuts, closing), "part int, closes boolean, doc_id long, text string")
+    dealt = rows.mapInArrow(textkit.task(_dealer(cuts, closing)), "part int, closes boolean, doc_id long, text string")
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "closes", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(_compare, _OUT_DDL)
+    return dealt.mapInArrow(textkit.task(_compare), _OUT_DDL)

@@ -10,12 +10,15 @@ buckets, so many that none holds more than about 256 pieces or a hundred
 thousandth of all, and a bucket's first rank is a prefix sum of counts.
 
 Defined cases: null and empty texts are documents of the closing token alone;
-repeated rows are packed each on their own; an empty table gives an empty
-result; other columns are ignored.
+very long texts are cut into pieces of the whole capacity; repeated rows are
+packed each on their own; pieces of equal length, id, number and content may
+take each other's slots, all others have one order; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -32,8 +35,6 @@ from pyspark.sql.window import Window
 from . import scratch, textkit
 
 CAPACITY = 2048
-#: Distinct words whose ids a worker keeps; beyond it the store starts anew.
-WORDS_KEPT = 1_000_000
 #: Pieces ranked together, and the number of rank buckets beyond the lengths themselves.
 BUCKET_ROWS, BUCKETS = 256, 100_000
 
@@ -59,19 +60,28 @@ class WordEncoder:
         self.model.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        steps = json.dumps(spec.get("normalizer")) + json.dumps(spec.get("pre_tokenizer"))
-        self.by_word = "\\\\s\\\\p{L}\\\\p{N}]+" in steps and '"Removed"' in steps and '"Lowercase"' in steps and all("<|" in t["content"] and " " not in t["content"] for t in spec["added_tokens"])
+        self.by_word = self._splits_words(spec)
         self.last = np.zeros(self.model.get_vocab_size(), bool)
         for token, i in self.model.get_vocab().items():
             self.last[i] = token.endswith("</w>")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.forget()
+
+    @staticmethod
+    def _splits_words(spec: dict) -> bool:
+        """Whether white space is dropped, case is lowered and runs of other characters than letters and digits are split off."""
+        parts = lambda x, inner: [] if x is None else x.get(inner, [x])
+        lowered = any(n["type"] == "Lowercase" for n in parts(spec.get("normalizer"), "normalizers"))
+        patterns = [p["pattern"].get("Regex", "") for p in parts(spec.get("pre_tokenizer"), "pretokenizers") if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]]
+        runs = any(p.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") for p in patterns)
+        return lowered and runs and all("<|" in t["content"] and " " not in t["content"] for t in spec["added_tokens"])
+
+    def forget(self) -> None:
+        """Start anew, as a task does: what is kept of words is bounded by `textkit.KEPT_BYTES` and lives no longer."""
+        self.index = textkit.KeyIndex()
+        self.begin, self.length = textkit.Growing(np.int64), textkit.Growing(np.int64)
+        self.ids = textkit.Growing(np.uint32)
         self.parts: dict[str, bytes] = {}
+        self.parts_bytes = 0
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and each text's first id's index (n+1 values)."""
@@ -84,40 +94,39 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         distinct, where, inverse = np.unique(textkit.span_hashes(buf, starts, ends, textkit.EXACT), return_index=True, return_inverse=True)
         at = self._learn(buf, starts, ends, distinct, where)[inverse]
-        lengths = self.length[at]
+        lengths = self.length.rows[at]
         sums = np.append(0, np.cumsum(lengths))
-        ids = self.ids[np.repeat(self.begin[at] - sums[:-1], lengths) + np.arange(sums[-1])]
+        ids = self.ids.rows[np.repeat(self.begin.rows[at] - sums[:-1], lengths) + np.arange(sums[-1])]
         return ids, sums[firsts]
 
     def _learn(self, buf, starts, ends, distinct, where) -> np.ndarray:
         """Places of the distinct words, after encoding those not met before."""
-        at = np.searchsorted(self.known, distinct)
-        at[at == len(self.known)] = 0
-        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        if not new.any():
-            return at
-        if len(self.known) > WORDS_KEPT:
-            self._forget()
-            new[:] = True
+        places = self.index.find(distinct)
+        new = np.flatnonzero(places < 0)
+        if not len(new):
+            return places
+        if 32 * self.index.n + 4 * self.ids.n > textkit.KEPT_BYTES:
+            self.forget()
+            new = np.arange(len(distinct))
         raw = buf.tobytes()
         spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
         got = self._encode([raw[i:j].decode() for i, j in spans])
         lengths = np.array([len(x) // 4 for x in got], np.int64)
-        begins = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), "<u4")])
-        known = np.concatenate([self.known, distinct[new]])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.begin = np.concatenate([self.begin, begins])[order]
-        self.length = np.concatenate([self.length, lengths])[order]
-        return np.searchsorted(self.known, distinct)
+        self.begin.append(self.ids.n + np.cumsum(lengths) - lengths)
+        self.length.append(lengths)
+        self.ids.append(np.frombuffer(b"".join(got), "<u4"))
+        places[new] = self.index.add(distinct[new])
+        return places
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Little-endian ids of each word."""
+        if self.parts_bytes > textkit.KEPT_BYTES // 2:
+            self.parts, self.parts_bytes = {}, 0
         split, wanted, parts = [], {}, self.parts
         for w in words:
             core = w if w.isalnum() or "<|" in w else _TAIL.sub("", w)
-            if len(core) < len(w) and not core[-1:].isalpha():
+            # Lower case may end a letter with a mark, which the punctuation behind it joins.
+            if len(core) < len(w) and not (core[-1:].isalpha() and core[-1:].lower()[-1:].isalpha()):
                 core = w
             tail = w[len(core) :]
             if core.isascii() and "<|" not in core:
@@ -140,24 +149,28 @@ class WordEncoder:
             parts.update(zip(some, map(flat.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
         for p, e in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True):
             parts[p] = np.array(e.ids, "<u4").tobytes()
-        return [parts[core] + parts[tail] if tail else parts[core] for core, tail in split]
+        out = [parts[core] + parts[tail] if tail else parts[core] for core, tail in split]
+        for p in wanted:
+            if len(p) > textkit.LONG:
+                del parts[p]
+            else:
+                self.parts_bytes += 150 + len(p) + len(parts[p])  # about what two small objects and their place take
+        return out
 
 
 _BY_SPACE = np.ones(256, bool)
 _BY_SPACE[[10, 32]] = False
 
-_encoders: dict[str, WordEncoder] = {}
-
-
+@functools.lru_cache(1)
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The vocabulary is read once by a worker; words' ids are forgotten when a task ends."""
+    return WordEncoder(path)
 
 
 def _cutter(path: str, capacity: int, closing: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        encode.forget()
         for whole in batches:
             for a, b in textkit.slices(whole.column(1)):
                 batch = whole.slice(a, b - a)
@@ -180,8 +193,9 @@ def _cutter(path: str, capacity: int, closing: int, with_ids: bool):
                     arrays.append(pa.array(out, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        encode.forget()
 
-    return cut
+    return textkit.task(cut)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -241,7 +255,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: int
     """
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    pieces = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(tokenizer, capacity, closing, with_ids), schema), "pack-pieces")
+    pieces = scratch.save(scratch.spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(_cutter(tokenizer, capacity, closing, with_ids), schema), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     target = max(BUCKET_ROWS, -(-sum(histogram.values()) // BUCKETS))
     dealt = F.broadcast(spark.createDataFrame([(k, max(1, -(-n // target))) for k, n in histogram.items()], "l long, buckets long"))

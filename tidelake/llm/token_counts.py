@@ -5,18 +5,21 @@ tokenizer's version digest.  Documents are joined to it by digest; only
 distinct texts without an entry are encoded, once each, and appended.
 
 Texts are content-normalised to UTF-8 with null as the empty text; nothing else
-may be normalised, since any other change could alter the count.  Texts are
-moved once, to the task that owns their digest, and copies inside one input
-task are dropped before that.
-
-Defined cases: null text counts as empty (0 tokens); repeated rows each get a
-result row; an empty table gives an empty result; other columns are ignored.
+may be normalised, since any other change could alter the count.  Texts that the
+cache lacks are moved once, to the task that owns their digest, and copies
+inside one input task are dropped before that.
+
+Defined cases: null text counts as empty (0 tokens); very long texts are encoded
+whole; repeated rows each get a result row (counts have no ties to break); an
+empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -27,9 +30,6 @@ from pyspark.sql import functions as F
 from . import scratch, textkit
 
 SCHEMA = "digest binary, version string, n_tokens long"
-#: Counts of separate words that a worker keeps; beyond it the store starts anew.
-WORDS_KEPT = 1_000_000
-
 
 def _units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Units that a piece tokenizer encodes independently: a space or line end with the run of other bytes behind it.
@@ -75,8 +75,11 @@ class PieceCounter:
             and "".join(probe[3]) == "▁▁a"
             and "".join(probe[4]) == "▁a▁▁a▁"
         )
-        self.known = np.zeros(0, np.uint64)
-        self.counts = np.zeros(0, np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew, as a task does: what is kept of words is bounded by `textkit.KEPT_BYTES` and lives no longer."""
+        self.index, self.counts = textkit.KeyIndex(), textkit.Growing(np.int64)
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         out = np.zeros(len(column), np.int64)
@@ -100,10 +103,12 @@ class PieceCounter:
         leading = np.searchsorted(starts, offsets[:-1][np.diff(offsets) > 0])
         hashes[leading] = textkit.mix(hashes[leading] ^ np.uint64(0x5BD1E995))
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, distinct)
-        at[at == len(self.known)] = 0
-        new = np.ones(len(distinct), bool) if not len(self.known) else self.known[at] != distinct
-        if new.any():
+        at = self.index.find(distinct)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if 24 * self.index.n > textkit.KEPT_BYTES:
+                self.forget()
+                new = np.arange(len(distinct))
             first = set(leading.tolist())
             raw, texts, less = buf.tobytes(), [], []
             for i in where[new].tolist():
@@ -117,15 +122,9 @@ class PieceCounter:
                 else:  # behind a line end: the space mark before it is not in the text
                     texts.append(unit)
                     less.append(1)
-            got = np.array([len(x) for x in self.model.encode([t.decode() for t in texts], num_threads=1)], np.int64) - np.array(less, np.int64)
-            if len(self.known) > WORDS_KEPT:
-                self.known, self.counts = self.known[:0], self.counts[:0]
-                return self._unit_counts(buf, offsets, starts, ends)
-            known, counts = np.concatenate([self.known, distinct[new]]), np.concatenate([self.counts, got])
-            order = np.argsort(known)
-            self.known, self.counts = known[order], counts[order]
-            at = np.searchsorted(self.known, distinct)
-        return self.counts[at][inverse]
+            self.counts.append(np.array([len(x) for x in self.model.encode([t.decode() for t in texts], num_threads=1)], np.int64) - np.array(less, np.int64))
+            at[new] = self.index.add(distinct[new])
+        return self.counts.rows[at][inverse]
 
 
 class JsonCounter:
@@ -141,14 +140,14 @@ class JsonCounter:
     def __call__(self, column: pa.Array) -> np.ndarray:
         return np.array([len(self.model.encode(t or "", add_special_tokens=False)) for t in column.to_pylist()], np.int64)
 
-
-_counters: dict[str, Callable[[pa.Array], np.ndarray]] = {}
+    def forget(self) -> None:
+        """Nothing is kept."""
 
 
-def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
-    if path not in _counters:
-        _counters[path] = PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
-    return _counters[path]
+@functools.lru_cache(1)
+def counter(path: str) -> PieceCounter | JsonCounter:
+    """The vocabulary is read once by a worker; counts of words are forgotten when a task ends."""
+    return PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
 
 
 def version_of(path: str) -> str:
@@ -172,7 +171,8 @@ def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _encoder(path: str, version: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by digest, copies next to each other."""
-        last = None
+        last, count = None, counter(path)
+        count.forget()
         for batch in batches:
             keep = []
             for i, d in enumerate(batch.column(0).to_pylist()):
@@ -181,9 +181,10 @@ def _encoder(path: str, version: str):
                     last = d
             if keep:
                 batch = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(keep)), pa.array(counter(path)(batch.column(1)))], ["digest", "version", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(keep)), pa.array(count(batch.column(1)))], ["digest", "version", "n_tokens"])
+        count.forget()
 
-    return encode
+    return textkit.task(encode)
 
 
 class TokenCountCache:
@@ -204,8 +205,11 @@ class TokenCountCache:
         version = version_of(tokenizer)
         own = self.read().where(F.col("version") == version)
         text = F.coalesce(F.col(text_col), F.lit(""))
-        texts = docs.select(digest(text).alias("digest"), text.alias("text")).mapInArrow(_distinct_texts, "digest binary, text string")
-        missing = texts.join(own.select("digest"), "digest", "left_anti") if not own.isEmpty() else texts
+        texts = docs.select(digest(text).alias("digest"), text.alias("text"))
+        if not own.isEmpty():  # digests meet the cache; only texts that it lacks move, and none do where few enough are missing
+            missing = scratch.save(texts.select("digest").distinct().join(own.select("digest"), "digest", "left_anti"), "token-counts-missing")
+            texts = texts.join(missing, "digest", "left_semi")
+        missing = texts.mapInArrow(textkit.task(_distinct_texts), "digest binary, text string")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = missing.repartition(parts, "digest").sortWithinPartitions("digest")
         rows.mapInArrow(_encoder(tokenizer, version), SCHEMA).write.mode("append").parquet(self.path)
