@@ -4,18 +4,25 @@ Every source gets a target number of words.  Whole copies of a source come
 first; what is left of its target is taken from the documents whose hash lies
 under the source's threshold.  The threshold is found from histograms of words
 by source and hash bucket: each round refines only the bucket in which the
-budget runs out, so nothing is ever sorted, and a larger budget always takes a
-superset of what a smaller one takes.
-
-Defined cases: a null text has size 0; null sources form one source, last in
-order; rows of one source with the same doc_id and text have the same hash and
-are taken together; an empty table gives an empty result.
+budget runs out, so documents are never sorted, and a larger budget always takes
+a superset of what a smaller one takes.
+
+Everything is a table: the sources with their ranks, targets and thresholds, and
+the histograms, of 2**BITS buckets a source in each round.  The driver gets a
+few sums, whatever the number of sources.
+
+Defined cases: a null text has size 0; very long texts are counted whole; null
+sources form one source, last in order; rows of one source with the same doc_id
+and text have the same hash and are taken together, and where such a hash alone
+crosses the budget the nearer side is taken; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import scratch
 
@@ -24,8 +31,6 @@ BITS = 10
 ROUNDS = 6
 #: A document is taken this often at most.
 MOST_COPIES = 3
-#: Sources are categories: one row for each is gathered and broadcast, so their number is bounded.
-MOST_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,67 +38,88 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: tuple[float, ...], cap: float = MOST_COPIES) -> list[float]:
-    """Share all words by weight; no source gets over `cap` times its size, the excess is reshared by weight."""
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    out = [0.0] * len(sizes)
-    left, open_ = float(sum(sizes)), set(range(len(sizes)))
-    while open_:
-        unit = left / sum(weight[i] for i in open_)
-        full = {i for i in open_ if unit * weight[i] > cap * sizes[i]}
-        for i in full or open_:
-            out[i] = float(cap * sizes[i]) if full else unit * weight[i]
-        if not full:
-            break
-        left -= sum(out[i] for i in full)
-        open_ -= full
-    return out
-
-
 def _hash(id_col: str, text_col: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - BITS * ROUNDS)
 
 
+def _sources(sized: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Per source: name, its words n, and its weight by its rank in order of code points, null last."""
+    spark = sized.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_order = F.col("name").asc_nulls_last()
+    sums = sized.groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("n"))
+    ranged = scratch.save(sums.repartitionByRange(parts, in_order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # one row a range
+    before = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    first = F.broadcast(spark.createDataFrame(before, "part int, first long"))
+    rank = F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy(in_order)) - 1
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
+    return scratch.save(ranged.join(first, "part").select("name", "n", weight.alias("weight")), "mix-sources")
+
+
+def targets(sources: DataFrame, cap: float = MOST_COPIES) -> DataFrame:
+    """Sources (n, weight, ...) with a target: all words shared by weight.
+
+    No source gets over `cap` times its words; the excess is shared by weight
+    among the others.  A source is full where `unit` times its weight is above
+    its cap, so each round finds `unit` from two sums.
+    """
+    total = sources.agg(F.sum("n").cast("double")).head()[0] or 0.0
+    most, unit, full = cap * F.col("n").cast("double"), 0.0, -1
+    while True:
+        is_full = F.lit(full >= 0) & (F.lit(unit) * F.col("weight") > most)
+        r = sources.agg(F.sum(is_full.cast("long")).alias("full"), F.sum(F.when(is_full, most)).alias("given"), F.sum(F.when(~is_full, F.col("weight"))).alias("open")).head()
+        if r.full is None or r.full == full or not r.open:
+            return sources.withColumn("target", F.when(is_full, most).otherwise(F.lit(unit) * F.col("weight")))
+        unit, full = (total - (r.given or 0.0)) / r.open, r.full
+
+
+def _refined(plan: DataFrame, sized: DataFrame, low: int) -> DataFrame:
+    """Thresholds after a look at the hash bits down to `low` of the documents in each open source's bucket."""
+    limits = plan.where("open").select("name", "prefix", "left")
+    inside = sized.join(limits, sized.source.eqNullSafe(limits.name) & (F.shiftrightunsigned("h", low + BITS) == limits.prefix))
+    bucket = F.shiftrightunsigned("h", low).alias("bucket")
+    counts = inside.groupBy("name", "left", bucket).agg(F.sum("size").alias("words"), (F.min("h") == F.max("h")).alias("one"))
+    upto = counts.withColumn("upto", F.sum("words").over(Window.partitionBy("name").orderBy("bucket")))  # 2**BITS rows a source
+    crossing = F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", "upto", "words", "one"))).alias("at")
+    found = upto.groupBy(F.col("name").alias("of")).agg(crossing, F.max("bucket").alias("last"))
+    rest = F.col("left") - (F.col("at.upto") - F.col("at.words"))
+    # Where one hash crosses the budget there is nothing finer to choose: the nearer side.
+    nearer = F.col("at.one") & (F.col("at.words") - rest < rest)
+    below = F.when(F.col("at").isNull(), F.col("last") + 1).otherwise(F.col("at.bucket") + nearer.cast("long"))
+    seen = F.col("last").isNotNull()
+    return plan.join(found, plan.name.eqNullSafe(found.of) & plan.open, "left").select(
+        "name",
+        "source_size",
+        "target",
+        "copies",
+        F.when(seen & F.col("at").isNotNull(), rest).otherwise(F.col("left")).alias("left"),
+        F.when(seen, F.coalesce("at.bucket", "prefix")).otherwise(F.col("prefix")).alias("prefix"),
+        F.when(seen, F.shiftleft(below, low)).otherwise(F.col("below")).alias("below"),
+        (F.col("open") & F.coalesce(~F.col("at.one"), F.lit(False))).alias("open"),
+    )
+
+
 def _plan(sized: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     """Per source: its words, target, whole copies, and the hash below which a document gets one copy more."""
-    spark = sized.sparkSession
-    sources = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(sources) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sources = sorted(((r.source, r.n) for r in sources), key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    plans = []
-    for i, ((name, n), target) in enumerate(zip(sources, targets([x[1] for x in sources], weights), strict=True)):
-        copies = min(MOST_COPIES, int(target // n)) if n else 0
-        plans.append({"i": i, "name": name, "n": n, "target": target, "copies": copies, "left": target - copies * n if copies < MOST_COPIES else 0.0, "prefix": 0, "below": 0})
-    open_ = [p for p in plans if p["left"] > 0]
+    sources = _sources(sized, weights)
+    copies = F.when(F.col("n") > 0, F.least(F.lit(MOST_COPIES), F.floor(F.col("target") / F.col("n")))).otherwise(0).cast("int")
+    left = F.when(F.col("copies") < MOST_COPIES, F.col("target") - F.col("copies") * F.col("n")).otherwise(0.0)
+    plan = targets(sources).withColumn("copies", copies).withColumn("left", left)
+    zero = F.lit(0).cast("long")
+    plan = scratch.save(plan.select("name", F.col("n").alias("source_size"), "target", "copies", "left", zero.alias("prefix"), zero.alias("below"), (F.col("left") > 0).alias("open")), "mix-plan")
     for low in range(BITS * (ROUNDS - 1), -1, -BITS):
-        if not open_:
+        if plan.where("open").isEmpty():
             break
-        limits = F.broadcast(spark.createDataFrame([(p["name"], p["i"], p["prefix"]) for p in open_], "name string, i int, prefix long"))
-        inside = sized.join(limits, sized.source.eqNullSafe(limits.name) & (F.shiftrightunsigned("h", low + BITS) == limits.prefix))
-        bucket = F.shiftrightunsigned("h", low)
-        counts: dict[int, list] = {}
-        for r in inside.groupBy("i", bucket.alias("bucket")).agg(F.sum("size").alias("n"), (F.min("h") == F.max("h")).alias("one")).collect():  # open sources x 2**BITS at most
-            counts.setdefault(r.i, []).append((r.bucket, r.n, r.one))
-        still = []
-        for p in open_:
-            for number, n, one in sorted(counts.get(p["i"], [])):
-                if n > p["left"]:
-                    p["prefix"], p["below"] = number, number << low
-                    if not one:
-                        still.append(p)
-                    elif n - p["left"] < p["left"]:  # one hash, nothing finer to choose: the nearer side
-                        p["below"] += 1 << low
-                    break
-                p["left"] -= n
-                p["below"] = (number + 1) << low
-        open_ = still
-    return spark.createDataFrame([(p["name"], p["n"], p["target"], p["copies"], p["below"]) for p in plans], "name string, source_size long, target double, copies int, below long")
+        before, plan = plan, scratch.save(_refined(plan, sized, low), "mix-plan")
+        scratch.drop(before)
+    return plan.select("name", "source_size", "target", "copies", "below")
 
 
 def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Spark broadcasts the plan where it is small; else the join splits a hot source's partition."""
     copies = F.col("copies") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    return rows.join(F.broadcast(plan), rows.source.eqNullSafe(plan.name)).withColumn("copies", copies)
+    return rows.join(plan, rows.source.eqNullSafe(plan.name)).withColumn("copies", copies)
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -103,9 +129,7 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size and target (of its source), taken (words, repeats counted).
 
-    `weights` go to the sources by code point, null last, and repeat.  One row
-    per source (`MOST_SOURCES` at most) and 2**BITS histogram rows for each
-    reach the driver; documents never do.
+    `weights` go to the sources by code point, null last, and repeat.
     """
     sized = _sized(docs, id_col, text_col, source_col)
     out = _with_copies(sized, _plan(sized, weights))
