@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import scratch, textkit
 
 #: Phrases that mark a license wherever their words stand together.
 PHRASES = [
@@ -252,7 +252,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, phrases (label, start), spans (label, start, end, coverage); words count from 0."""
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, phrases array<struct<label: string, start: long>>, spans array<struct<label: string, start: long, end: long, coverage: double>>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, schema)
+    return scratch.spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(textkit.task(_scan), schema)
 
 
 def summary(scanned: DataFrame, covered: float = COVERED) -> DataFrame:
