@@ -53,6 +53,31 @@ def test_quality_held_out(spark, sf):
     assert labelled.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).head()[0] > 0.88
 
 
+def test_descent_reaches_the_optimum():
+    """Primal and dual objectives meet, so the weights are those of any exact solver."""
+    draw = np.random.default_rng(1)
+    dense = draw.normal(size=(60, 9)) * (draw.random((60, 9)) < 0.5) + 1e-3
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    y = np.where(dense[:, 0] + 0.3 * draw.normal(size=60) > 0, 1.0, -1.0)
+    costs = np.where(y > 0, 0.7, 1.6)
+    rows = [np.flatnonzero(x) for x in dense]
+    w, b, alpha = quality.descend(rows, [x[r] for x, r in zip(dense, rows, strict=True)], y, costs, 9, 400, 3)
+    norm = w @ w + b * b  # the bias is a weight of a constant 1
+    primal = norm / 2 + costs @ np.maximum(0, 1 - y * (dense @ w + b))
+    dual = alpha.sum() - norm / 2
+    assert np.allclose(w, (alpha * y) @ dense) and b == pytest.approx(alpha @ y) and (alpha >= 0).all() and (alpha <= costs).all()
+    assert primal - dual < 1e-3 * primal
+
+
+def test_quality_trains_on_one_row_of_an_id(spark):
+    rows = [(i, "calm good line " * 3 if i % 2 else "BUY NOW ### " * 3) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    again = quality.train(spark.createDataFrame(rows + rows[:7] * 50, "doc_id long, text string").repartition(5), labels)
+    assert np.array_equal(once.weights, again.weights) and once.bias == again.bias
+    assert {r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels.limit(0))).collect()} == {0.5}
+
+
 @given(st.binary(max_size=200))
 def test_indicators(data):
     seen = np.zeros(1 << quality.BITS, np.int32)
@@ -134,22 +159,54 @@ def test_plan_fills_gaplessly(histogram):
 # -- 3: language-model scores
 
 
+class LmReference:
+    """The model by its formulas, with no automaton."""
+
+    def __init__(self, rows, trains):
+        self.split = {i: t.encode().lower().split() + [None] for i, t in rows}
+        self.c = c = Counter()
+        for i, w in self.split.items():
+            if trains(i):
+                c["^",] += 1
+                for before, x in self.steps(w):
+                    c.update([(x,), (before[-1], x)] + [(*before[-2:], x)] * (len(before) > 1))
+        self.words = {k[0]: n for k, n in c.items() if len(k) == 1 and k != ("^",)}
+        self.n, self.v = sum(self.words.values()), len(self.words)
+        once, twice = (sum(x == k for x in self.words.values()) for k in (1, 2))
+        self.d = (once + 1) / (once + 2 * twice + 2)
+
+    def steps(self, w):
+        return [(("^", *w[:k]), x) for k, x in enumerate(w)]
+
+    def p(self, before, x):
+        c, (m2, m3) = self.c, lm_scores.MASSES
+        q = ((c[x,] - self.d) / self.n if c[x,] else self.d * self.v / self.n) if self.n else 1.0
+        p = (c[before[-1], x] + m2 * q) / (c[before[-1],] + m2)
+        return (c[(*before[-2:], x)] + m3 * p) / (c[before[-2:]] + m3) if len(before) > 1 else p
+
+    def score(self, w):
+        return sum(math.log10(self.p(*s)) for s in self.steps(w))
+
+
 def lm_reference(rows, trains):
-    split = {i: t.encode().lower().split() + [None] for i, t in rows}
-    c, bi = Counter(), Counter()
-    for i, w in split.items():
-        if trains(i):
-            c.update(w)
-            bi.update(zip(["^", *w[:-1]], w, strict=True))
-    starts, n, v = sum(trains(i) for i in split), sum(c.values()), len(c)
-    out = {}
-    for i, w in split.items():
-        root = [(c[x] + 1) / (n + v + 1) for x in w]
-        base = sum(map(math.log10, root))
-        each = [base] + [sum(math.log10((bi[u, x] + m * q) / ((starts if u == "^" else c[u]) + m)) for u, x, q in zip(["^", *w[:-1]], w, root, strict=True)) for m in lm_scores.MASSES]
-        top = max(each)
-        out[i] = (len(w), sum(c[x] > 0 for x in w), n, base, top + math.log10(sum(10 ** (e - top) for e in each) / len(each)))
-    return out
+    r = LmReference(rows, trains)
+    return {i: (len(w), sum(r.c[x,] > 0 for x in w), r.n, sum(math.log10((r.c[x,] + 1) / (r.n + r.v + 1)) for x in w), r.score(w)) for i, w in r.split.items()}
+
+
+def test_lm_automaton(monkeypatch):
+    """In every state the words and the class of unknown ones have probabilities that sum to one, and walks by parts agree."""
+    rows = [(1, "a b a c a b"), (2, "b a b"), (3, "c c c a"), (4, "d"), (5, "zz a b zz zz d d d"), (6, "a b c " * 60), (7, "")]
+    r = LmReference(rows, lambda i: i < 5)
+    for before in (("^",), ("^", b"a"), (b"a", b"b"), (b"c", b"d"), (b"zz", b"a"), (b"b", b"zz")):
+        assert sum(r.p(before, x) for x in [*r.words, b"unknown"]) == pytest.approx(1.0)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), pa.array([i < 5 for i, _ in rows])], ["i", "t", "trains"])
+    (made,) = list(lm_scores._blocks(iter([batch])))
+    block = lm_scores.Block(made.column(2)[0].as_py(), *(made.column(k)[0].as_py() for k in (3, 4, 5)), 60)
+    own = np.delete(block.counts()[0], block.start)
+    for part in (lm_scores.PART, 3, 7):
+        monkeypatch.setattr(lm_scores, "PART", part)
+        walked = lm_scores.Automaton(block, block.counts(), own.sum(), (own > 0).sum(), (own == 1).sum(), (own == 2).sum(), lm_scores.MASSES).walk(block)
+        assert walked == pytest.approx([r.score(w) for w in r.split.values()])
 
 
 def test_lm_equals_reference(spark, sf):
@@ -321,12 +378,59 @@ def test_mix_meets_targets(spark, sf):
     assert again == {(r.doc_id, r.taken) for r in rows}
 
 
-@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
-def test_targets(sizes):
-    t = mixing.targets(sizes, (1, 2, 3))
-    assert sum(t) == pytest.approx(sum(sizes)) and all(x <= 3 * n + 1e-6 for x, n in zip(t, sizes, strict=True))
-    free = [i for i, n in enumerate(sizes) if t[i] < 3 * n - 1e-6]
-    assert len({round(t[i] / (1, 2, 3)[i % 3], 6) for i in free}) <= 1
+def shared(sizes, weights=(1, 2, 3), cap=3):
+    """Targets by filling up source after source."""
+    out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
+    while open_:
+        unit = left / sum(weights[i % 3] for i in open_)
+        full = {i for i in open_ if unit * weights[i % 3] > cap * sizes[i]}
+        for i in full or open_:
+            out[i] = float(cap * sizes[i]) if full else unit * weights[i % 3]
+        if not full:
+            break
+        left -= sum(out[i] for i in full)
+        open_ -= full
+    return out
+
+
+def test_mix_equals_brute_force(spark):
+    """Ranks, targets and the chosen documents, recomputed one by one; a source has one huge row and one has only copies."""
+    draw = np.random.default_rng(8)
+    rows = [(i, "w " * int(draw.integers(0, 40)), ["b", "a", "é", "z", None, "𝒳"][min(5, int(draw.exponential(1.2)))]) for i in range(400)]
+    rows += [(900, "big " * 3000, "solo")] + [(800, "same text again", "twins")] * 9 + [(1000 + i, "", "void") for i in range(3)]
+    rows += [(2000 + i, "one two", f"s{i:03}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("h", F.lit("clash"))
+    got = mixing.mix(df).collect()
+    hashed = df.select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).alias("x"), mixing._hash("doc_id", "text").alias("hash")).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    target = dict(zip(names, shared([sizes[s] for s in names]), strict=True))
+    size_of = {(i, t): len(t.split()) for i, t, _ in rows}
+    by_source = {}
+    for (i, t, s), h in zip(rows, hashed, strict=True):
+        assert i == h.doc_id
+        by_source.setdefault(s, Counter())[h.hash] += size_of[i, t]
+    want = Counter()
+    for (i, t, s), h in zip(rows, hashed, strict=True):
+        n = sizes[s]
+        copies = min(3, int(target[s] // n)) if n else 0
+        left = target[s] - copies * n if copies < 3 else 0.0
+        chosen = False
+        for value, words in sorted(by_source[s].items()):
+            if left <= 0:
+                break
+            take = words <= left or words - left < left
+            if value == h.hash:
+                chosen = take
+            if words > left:
+                break
+            left -= words
+        want[i, s, size_of[i, t], (copies + chosen) * size_of[i, t]] += 1
+    of = {i: s for i, _, s in rows}
+    assert Counter((r.doc_id, of[r.doc_id], r.size, r.taken) for r in got) == want
+    assert all(r.source_size == sizes[of[r.doc_id]] and r.target == pytest.approx(target[of[r.doc_id]]) for r in got)
 
 
 def test_mix_odd_rows(spark, docs):
