@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +21,23 @@ def _begin(spark: SparkSession, first: bool = False) -> None:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: no letter, or a score under 0.5."""
+    """Drops documents whose language cannot be told: no letter (null and empty texts too), or a score under 0.5.
+
+    Three in four documents with a language are learned from; without any, all
+    documents go.  Repeated rows stay or go together; an empty table stays empty.
+    """
     _begin(spark, first=True)
     model = language.fit(docs.where(~language.held_out("doc_id", 4, 2)))
     return language.keep_identified(docs, model)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents predicted to be of low quality."""
+    """Drops documents predicted to be of low quality.
+
+    Labels of documents that are gone are not learned from; without any label
+    all documents stay.  Null texts count as empty ones; repeated rows stay or
+    go together; an empty table stays empty.
+    """
     _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.where(~language.held_out("doc_id", 5, 0)))
@@ -37,19 +45,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies, that of the least id.
+
+    Of repeated rows one stays; texts without words, null and empty ones
+    too, are nobody's copies and all stay; an empty table stays empty.
+    """
     _begin(spark)
     return jaccard.keep_first(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every document as often as the mix has it."""
+    """Takes every document as often as the mix has it: never, or up to three times.
+
+    Null sources are one source; texts without words go with their hash like
+    others; an empty table stays empty.
+    """
     _begin(spark)
     return mixing.apply(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences: one row per piece."""
+    """Packs the documents into sequences: one row per piece, of each copy.
+
+    Null and empty texts are the closing token alone; an empty table stays empty.
+    """
     import public_tokenizers
 
     _begin(spark)
@@ -69,10 +88,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; a stage's table is deleted once the next one is written.
+
+    Columns beside those of documents pass through all stages but the last,
+    whatever their names; nulls in them mean nothing to any stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{scratch.root(spark)}/tidelake-pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        docs = scratch.save(stage(spark, docs, sf_dir), name, swept=False)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
