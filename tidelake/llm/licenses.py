@@ -4,20 +4,24 @@ The automaton holds every substring of the licence templates.  Streaming a
 text's words through it yields matching statistics: at each word, the longest
 template substring that ends there.  Phrases are the places where that
 substring ends with a whole phrase.  Maximal long matches are anchored in the
-templates and chained, in order in both text and template, into covered spans;
-a template labels the text when a chain covers enough of it.
+templates and chained, in order in both text and template, into covered spans.
+Spans do not overlap: where several chains claim a place, the one that covers
+most of its template stays, then the one of more words, then the earlier, then
+the template first in the list.  A template labels the text when a span covers
+enough of it.
 
 Only runs of words that occur in some template reach the automaton; elsewhere
 the matching statistic is 0 by definition.
 
-Defined cases: a null text is empty, has no words and no labels; ties between
-chains go to the earlier one; repeated rows each get a row; an empty table
-gives an empty result; other columns are ignored.
+Defined cases: a null text is empty, has no words and no labels; very long texts
+are scanned whole; repeated rows each get a row; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -27,31 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, textkit
-
-#: Phrases that mark a license wherever their words stand together.
-PHRASES = [
-    ("apache", "apache license"),
-    ("cc-by", "cc by"),
-    ("gpl", "gnu general public license"),
-    ("mit", "mit license"),
-]
-
-#: Wordings of notices.  A text that covers one gets its label.
-TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("public-domain", "This is free and unencumbered software released into the public domain"),
-]
+from .license_texts import PHRASES, TEMPLATES
 
 #: Words that a match needs to become an anchor, and words between two anchors of a chain at most.
 ANCHOR, GAP = 3, 12
@@ -125,6 +105,7 @@ class LicenseScanner:
         split = [split_words(text) for _, text in (*phrases, *templates)]
         vocabulary = sorted({w for s in split for w in s})
         self.sizes = [len(s) for s in split]
+        self.shortest = min([anchor, *self.sizes[: len(phrases)]])
         number = {w: i for i, w in enumerate(vocabulary)}
         automaton = SuffixAutomaton([[number[w] for w in s] for s in split])
         hashes, _ = textkit.words(pa.array(vocabulary), textkit.LETTER_WORD)
@@ -152,7 +133,7 @@ class LicenseScanner:
         at[at == len(self.hashes)] = 0
         known = self.hashes[at] == hashes
         numbers = self.numbers[at]
-        # Runs of at least two known words inside a text.
+        # Runs of known words inside a text that can hold a phrase or an anchor.
         begin = known.copy()
         begin[1:] &= ~known[:-1]
         inner = firsts[1:-1][firsts[1:-1] < len(known)]
@@ -162,7 +143,7 @@ class LicenseScanner:
         stop[inner] = True
         stops = np.append(np.flatnonzero(stop), len(known))
         ends = stops[np.searchsorted(stops, starts, "right")]
-        long = ends - starts > 1
+        long = ends - starts >= self.shortest
         starts, ends = starts[long], ends[long]
         runs = np.searchsorted(starts, firsts)
         starts, ends, runs = starts.tolist(), ends.tolist(), runs.tolist()
@@ -193,7 +174,7 @@ class LicenseScanner:
             anchors.append((base + len(tokens) - size, size, state))
 
     def _chains(self, anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """The best chain of each template for every stretch of its anchors."""
+        """The best chains of the templates, none overlapping another."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for start, size, state in anchors:
             for template, last in self.places[state]:
@@ -214,14 +195,18 @@ class LicenseScanner:
                 # Chains that end in the same place of the template only differ in what they cover.
                 open_ = [c for c in open_ if c[2] != best[2] or c[3] > best[3]]
                 open_.append(best)
-            done += open_
-            done.sort(key=lambda c: (-c[3], c[0]))
-            taken: list[tuple[int, int]] = []
-            for first, end, _, covered in done:
-                if all(end <= a or b <= first for a, b in taken[-64:]):
-                    taken.append((first, end))
-                    spans.append((template, first, end, covered / self.sizes[template]))
-        return spans
+            spans += [(template, first, end, covered / self.sizes[template], covered) for first, end, _, covered in done + open_]
+        spans.sort(key=lambda s: (-s[3], -s[4], s[1], s[0]))
+        kept: list[tuple[int, int, int, float]] = []
+        starts: list[int] = []  # of the spans kept, ascending, and their ends
+        ends: list[int] = []
+        for template, first, end, coverage, _ in spans:
+            at = bisect_right(starts, first)
+            if (at == 0 or ends[at - 1] <= first) and (at == len(starts) or end <= starts[at]):
+                starts.insert(at, first)
+                ends.insert(at, end)
+                kept.append((template, first, end, coverage))
+        return kept
 
 
 _scanner: LicenseScanner | None = None
