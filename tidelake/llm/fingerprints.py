@@ -13,22 +13,26 @@ the first document of a range is also sent, as a closing row, to the range
 that is read before it.
 
 Defined cases: a null text is empty; an empty text has the fingerprint ''; its
-likeness is 1 to an equal fingerprint and 0 to others; null ids come last, equal
-ids are ordered by text; the only document is its own neighbour; an empty table
-gives an empty result; other columns are ignored.
+likeness is 1 to an equal fingerprint and 0 to others; very long texts are
+chunked whole; ids that are no integers are refused where neighbours are
+compared; null ids come last, equal ids, repeated rows too, are ordered by text;
+the only document is its own neighbour; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import textkit
 
@@ -65,33 +69,49 @@ def chunk_ends(data: np.ndarray) -> list[int]:
     return ends
 
 
-def chunk_set(text: str) -> np.ndarray:
-    """Distinct chunks as digest << 8 | length, ascending."""
+@dataclass
+class Chunks:
+    """Distinct chunks of a text, ascending by their 64-bit digests, and their lengths."""
+
+    digests: np.ndarray
+    lengths: np.ndarray
+
+
+def chunk_set(text: str) -> Chunks:
     raw = text.encode()
     data = memoryview(raw)
-    start, found = 0, set()
+    start, found = 0, {}
     for end in chunk_ends(np.frombuffer(raw, np.uint8)):
-        found.add(zlib.crc32(data[start:end]) << 8 | (end - start))
+        found[xxhash.xxh3_64_intdigest(data[start:end])] = end - start
         start = end
-    return np.array(sorted(found), np.int64)
+    digests = np.fromiter(found, np.uint64, len(found))
+    order = np.argsort(digests)
+    return Chunks(digests[order], np.fromiter(found.values(), np.uint8, len(found))[order])
+
+
+def fingerprint(chunks: Chunks) -> str:
+    """Eighteen hex digits a chunk: its digest, its length."""
+    out = np.empty((len(chunks.digests), 9), np.uint8)
+    out[:, :8] = chunks.digests.astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 8] = chunks.lengths
+    return out.tobytes().hex()
 
 
-def fingerprint(chunks: np.ndarray) -> str:
-    """Ten hex digits a chunk: its CRC-32, its length."""
-    return chunks.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex()
+def parse(stored: str) -> Chunks:
+    raw = np.frombuffer(bytes.fromhex(stored), np.uint8).reshape(-1, 9)
+    return Chunks(np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.uint64), raw[:, 8].copy())
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: Chunks, b: Chunks) -> float:
     """Part of a's chunk bytes that b has too."""
-    if not len(a):
-        return 1.0 if not len(b) else 0.0
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float((common & 255).sum() / (a & 255).sum())
+    if not len(a.digests):
+        return 1.0 if not len(b.digests) else 0.0
+    _, common, _ = np.intersect1d(a.digests, b.digests, assume_unique=True, return_indices=True)
+    return float(a.lengths[common].sum(dtype=np.int64) / a.lengths.sum(dtype=np.int64))
 
 
 def likeness_of(a: str, b: str) -> float:
     """The likeness of two stored fingerprints."""
-    parse = lambda s: np.array([int(s[i : i + 10], 16) for i in range(0, len(s), 10)], np.int64)
     return likeness(parse(a), parse(b))
 
 
@@ -165,6 +185,8 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shuffle partitions.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold integers, by which documents are put in order")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 4 * parts
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
