@@ -39,3 +39,59 @@ def test_classify(spark):
     staged = spark.createDataFrame([("g", 2 << 20, 0), ("h", 10, 0)], "g string, size long, t long").withColumn("t", F.timestamp_seconds("t"))
     lanes = {r.g: r.lane for r in ingest.flush_groups(staged, ["g"], "size", "t", F.timestamp_seconds(F.lit(1000))).collect()}
     assert lanes == {"g": "age", "h": "none"}
+
+
+def read_feed(spark, lake, name, tmp_path, tag):
+    spark.dataSource.register(TideChanges)
+    stream = spark.readStream.format("tide_changes").option("root", lake.root).option("namespace", "ns").option("table", name).load()
+    got = []
+    q = stream.writeStream.foreachBatch(lambda b, i: got.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / tag)).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return sorted(got)
+
+
+def test_feed_of_a_promoted_column(spark, lake, tmp_path):
+    from tidelake.operators import alter as al
+
+    t = lake.create_table("ns", "p", spark.createDataFrame([], "n int, x float").schema)
+    t.append(spark.createDataFrame([(1, 0.5)], "n int, x float"))
+    t.alter(al.promote_column("n", "long"), al.promote_column("x", "double"))
+    t.append(spark.createDataFrame([(1 << 40, 0.25)], "n long, x double"))
+    assert read_feed(spark, lake, "p", tmp_path, "c") == [(1, 0.5), (1 << 40, 0.25)]
+
+
+def test_feed_refuses_deleted_rows(spark, lake, tmp_path):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    t = lake.create_table("ns", "d", spark.range(1).schema)
+    t.append(spark.range(20))
+    t.delete("id < 5")
+    with pytest.raises(StreamingQueryException, match="deleted"):
+        read_feed(spark, lake, "d", tmp_path, "c")
+
+
+def test_files_without_field_ids_go_by_name(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import types as T
+
+    from tidelake.streaming import source
+
+    pq.write_table(pa.table({"B": ["x", "y"], "a": pa.array([1, 2], pa.int32())}), tmp_path / "f.parquet")
+    reader = object.__new__(source._Reader)
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType()), T.StructField("c", T.DoubleType())])
+    reader.names, reader.ids, reader.arrow = ["a", "b", "c"], {"a": 1, "b": 2, "c": 3}, source.to_arrow_schema(schema)
+    (batch,) = list(reader.read(source._File(str(tmp_path / "f.parquet"))))
+    assert batch.to_pydict() == {"a": [1, 2], "b": ["x", "y"], "c": [None, None]}
+
+
+def test_uuid_text(spark):
+    import uuid
+
+    u = uuid.uuid4()
+    rows = spark.createDataFrame([(u.bytes,), (b"short",), (None,)], "b binary").select(ingest.uuid_text(F.col("b"))).collect()
+    assert [r[0] for r in rows] == [str(u), None, None]

@@ -2,8 +2,8 @@
 
 Offsets are snapshot ids.  A micro-batch plans the files that its snapshots
 appended; executors read them in Arrow batches, so rows never pass the driver.
-Truncations, replacements and expiry end the stream with an error instead of a
-gap.  Use it with ``spark.dataSource.register(TideChanges)`` and
+Truncations, replacements, deleted rows and expiry end the stream with an error
+instead of a gap: it carries appends alone.  Use it with ``spark.dataSource.register(TideChanges)`` and
 ``spark.readStream.format("tide_changes").option("root", ...)``.
 """
 
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from .. import types as ty
@@ -82,6 +83,7 @@ class _Reader(DataSourceStreamReader):
         self.table_id = _table(state, self.namespace, self.name)["id"]
         self.ids = {f["name"]: f["id"] for f in _fields(state, self.table_id, state["head"])}
         self.names = [f.name for f in schema.fields]
+        self.arrow = to_arrow_schema(schema)
 
     def initialOffset(self) -> dict:
         return {"snapshot": self.start}
@@ -101,6 +103,8 @@ class _Reader(DataSourceStreamReader):
                     raise ReconciliationRequired(f"snapshot {s['snapshot_id']} truncates or replaces the table")
                 if "table_compacted" in own:
                     compacted.add(s["snapshot_id"])
+        if any(x["table_id"] == self.table_id and after < x["begin"] <= until for x in state["dvs"].values()):
+            raise ReconciliationRequired(f"rows were deleted in ({after}, {until}], which a stream of appends cannot carry")
         return [_File(f["path"]) for f in state["files"].values() if f["table_id"] == self.table_id and after < f["begin"] <= until and f["begin"] not in compacted]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
@@ -114,10 +118,15 @@ class _Reader(DataSourceStreamReader):
             files, at = fs.FileSystem.from_uri(partition.path)
             source = pq.ParquetFile(files.open_input_file(at))
         by_id = {int(f.metadata[b"PARQUET:field_id"]): f.name for f in source.schema_arrow if f.metadata and b"PARQUET:field_id" in f.metadata}
-        columns = [by_id.get(self.ids[n]) for n in self.names]
+        if by_id:
+            columns = [by_id.get(self.ids[n]) for n in self.names]
+        else:  # a file from elsewhere, without field ids: columns go by name
+            there = {f.name.lower(): f.name for f in source.schema_arrow}
+            columns = [there.get(n.lower()) for n in self.names]
         for batch in source.iter_batches(columns=[c for c in columns if c]):
-            arrays = [pa.nulls(len(batch)) if c is None else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, self.names)
+            # A file may be older than a promotion of its columns.
+            arrays = [pa.nulls(len(batch), f.type) if c is None else batch.column(c).cast(f.type) for c, f in zip(columns, self.arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=self.arrow)
 
     def commit(self, end: dict) -> None:
         pass
