@@ -300,7 +300,7 @@ def test_hydration_and_uploads(spark, lake, tmp_path):
     t = lake.create_table("ns", "h", points(spark).schema)
     t.append(points(spark), deferred_stats=True)
     assert len(t.plan(where="id > 100")) == 1  # pending statistics never prune
-    assert mt.hydrate(t)["provided"] == 1
+    assert mt.hydrate(t, small=0)["provided"] == 1
     assert len(t.plan(where="id > 100")) == 0
     mt.claim_upload(lake, "u1", str(tmp_path / "f"))
     assert mt.renew_uploads(lake, ["u1", "nope"]) == 1

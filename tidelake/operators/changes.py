@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Expired, Invalid, ReconciliationRequired
-from .table import Table
+from .table import BROADCAST_ROWS, Table
 
 
 @dataclass
@@ -44,7 +44,7 @@ class Changes:
             rows = rows.join(self.table.positions(old), ["__path", "__pos"], "left_anti")
         # A rewritten file carries its row ids itself, so they are read from it.
         plain = spark.createDataFrame([(f["path"], f["id"], f["row_id_start"]) for f, _ in now], "__path string, data_file_id long, start long")
-        rows = rows.join(F.broadcast(plain), "__path")
+        rows = rows.join(F.broadcast(plain) if len(now) <= BROADCAST_ROWS else plain, "__path")
         explicit = [f for f, _ in now if f["explicit"]]
         ids = rows.withColumn("rowid", F.col("start") + F.col("__pos"))
         if explicit:

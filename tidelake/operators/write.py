@@ -168,14 +168,25 @@ def merge_chunks(leaf: ty.Field, chunks: list[dict[str, Any]]) -> dict[str, Any]
     return bounds.sane(kind, {"values": values, "nulls": nulls, "nans": None, **ends}, scale)
 
 
-def footers(spark, paths: list[str], fields: list[ty.Field], deferred: bool = False) -> dict[str, dict[str, Any]]:
+def _lenient(path: str, fields: list[ty.Field]) -> dict[str, Any]:
+    try:
+        return _footer(path, fields)
+    except FileNotFoundError:
+        return {"error": "missing"}
+    except OSError:
+        return {"error": "unreadable"}
+
+
+def footers(spark, paths: list[str], fields: list[ty.Field], deferred: bool = False, lenient: bool = False) -> dict[str, dict[str, Any]]:
+    """Footers by path; a `lenient` read tells of missing and unreadable files instead of failing."""
+    one = (lambda p: _lenient(p, fields)) if lenient else (lambda p: _footer(p, fields, deferred))
     if len(paths) <= FOOTERS_HERE:
-        return {p: _footer(p, fields, deferred) for p in paths}
+        return {p: one(p) for p in paths}
     import json
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "stats": [json.dumps(_footer(p, fields, deferred)) for p in b["path"]]})
+            yield pd.DataFrame({"path": b["path"], "stats": [json.dumps(one(p)) for p in b["path"]]})
 
     rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 4 * spark.sparkContext.defaultParallelism))
     return {r.path: json.loads(r.stats) for r in rows.mapInPandas(read, "path string, stats string").collect()}
