@@ -204,14 +204,24 @@ class Table:
             for k, v in enumerate(f["values"]):
                 found[k, v] = found.get((k, v), 0) + 1
         rows = sorted(((k, v, n) for (k, v), n in found.items()), key=lambda r: (r[0], -r[2], r[1] is not None, r[1] or ""))
-        kept = [r for i, r in enumerate(rows) if sum(1 for x in rows[:i] if x[0] == r[0]) < most] if len(rows) > most else rows
+        seen: dict[int, int] = {}
+        kept = []
+        for r in rows:
+            seen[r[0]] = seen.get(r[0], 0) + 1
+            if seen[r[0]] <= most:
+                kept.append(r)
         return self.spark.createDataFrame(kept, "key_index int, value string, files long"), len(kept) < len(rows)
 
-    def partitions(self, snapshot: int | None = None, prefix: dict[int, str] | None = None, small: int = 64 << 20) -> DataFrame:
+    def partitions(self, snapshot: int | None = None, prefix: dict[int, str] | None = None, small: int = 64 << 20, sort: str = "decoded", descending: bool | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
         """Per partition of every spec: files, rows, bytes, small files, deletion vectors, with decoded values.
 
-        `prefix` filters decoded values by case-insensitive prefix; an empty one means null.
+        `prefix` filters decoded values by case-insensitive prefix; an empty one
+        means null.  The order is that of the decoded values, nulls first, or of
+        a measure, largest first unless told otherwise; ties by decoded values.
         """
+        measures = ("files", "records", "bytes", "small_files", "vectors", "deleted")
+        if sort not in ("decoded", *measures):
+            raise Invalid(f"sort {sort!r}")
         at = self.catalog.resolve(snapshot)
         by_id, specs, vectors = {f["id"]: f for _, f in ty.leaves(self.fields(at))}, self._specs(), self._dvs(at)
         groups: dict[tuple, list] = {}
@@ -223,6 +233,11 @@ class Table:
                 for i, n in enumerate((1, f["record_count"], f["size"], f["size"] < small, x is not None, x["count"] if x else 0)):
                     g[i] += int(n)
         rows = [(spec, list(stored), list(shown), *g) for (spec, stored, shown), g in sorted(groups.items(), key=lambda kv: [(v is not None, v or "") for v in kv[0][2]])]
+        if sort == "decoded":
+            rows = rows[::-1] if descending else rows
+        else:
+            rows.sort(key=lambda r: r[3 + measures.index(sort)], reverse=descending is not False)
+        rows = rows[offset:] if limit is None else rows[offset : offset + limit]
         return self.spark.createDataFrame(rows, "spec_id int, partition_values array<string>, decoded array<string>, files long, records long, bytes long, small_files long, vectors long, deleted long")
 
     def lookup_partition(self, values: list[str | None], spec_id: int | None = None, after: int = 0, limit: int = 500, snapshot: int | None = None) -> dict[str, Any]:
@@ -322,7 +337,10 @@ class Table:
     def merge(self, source: DataFrame, on: list[str], update: dict[str, str] | None = None, insert: bool = True, delete: bool = False, **guards: Any) -> dict[str, Any]:
         """Upsert by key columns: matched rows are updated (expressions over `t` and `s`) or deleted, others inserted."""
         at = self.catalog.head
-        target = self.scan(at, lineage=True).alias("t")
+        saved = f"{self.row()['location']}/merging/{uuid.uuid4().hex}"
+        source.write.parquet(saved)  # read several times, and the same each time
+        source = self.spark.read.schema(source.schema).parquet(saved)
+        target = self.scan(at, where=self._within(source, on[0], at), lineage=True).alias("t")
         same = [F.col(f"t.`{k}`") == F.col(f"s.`{k}`") for k in on]
         met = target.join(source.alias("s"), same, "inner")
         if not met.groupBy("filename", "file_row_number").count().where("count > 1").isEmpty():
@@ -336,8 +354,16 @@ class Table:
             if insert:
                 keys = self.scan(at, columns=on).alias("t")
                 t.append(self, source.alias("s").join(keys, same, "left_anti"))
+        self.catalog.store.delete(saved)
         return t.result
 
+    def _within(self, source: DataFrame, key: str, at: int) -> str | None:
+        """A condition that holds for all rows whose whole-number key is between the source's, for pruning."""
+        if ty.find(self.fields(at), key)["type"] not in ("int", "long"):
+            return None
+        r = source.agg(F.min(key).alias("low"), F.max(key).alias("high")).head()
+        return f"`{key}` >= {r.low} AND `{key}` <= {r.high}" if r.low is not None else None
+
     def overwrite(self, df: DataFrame, all_files: bool = False, **guards: Any) -> dict[str, Any]:
         """Replace the partitions that the rows fall into (or everything) atomically."""
         with Transaction(self.catalog, **guards) as t:
@@ -430,7 +456,8 @@ class Transaction:
         vectors = table.write_vectors(positions, self.at)
         if vectors:
             self.vectors[table.id] = (table, vectors)
-            new = [({"path": f["path"]}, {"path": v["path"], "count": v["count"]}) for f, _ in table.plan(self.at) for v in vectors if v["file_id"] == f["id"]]
+            own = {v["file_id"]: v for v in vectors}
+            new = [({"path": f["path"]}, {"path": own[f["id"]]["path"], "count": own[f["id"]]["count"]}) for f, _ in table.plan(self.at) if f["id"] in own]
             self.pending[table.id] = table.positions(new)
 
     def delete(self, table: Table, where: str) -> None:

@@ -9,6 +9,7 @@ on HDFS and on object stores with conditional writes.
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from pathlib import Path
 from urllib.parse import urlparse
@@ -93,7 +94,11 @@ class Store:
 
     def delete(self, path: str) -> None:
         if is_local(path):
-            Path(local(path)).unlink(missing_ok=True)
+            at = Path(local(path))
+            if at.is_dir():
+                shutil.rmtree(at)
+            else:
+                at.unlink(missing_ok=True)
             return
         p, fs = self._fs(path)
         fs.delete(p, True)
