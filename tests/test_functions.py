@@ -23,6 +23,8 @@ def test_murmur_vectors(spark):
     assert tr.murmur3((34).to_bytes(8, "little")) == 2017239379
     assert tr.murmur3(b"iceberg") == 1210000089
     x = np.array([0, 1, -1, 34, 2**63 - 1, -(2**63)], np.int64)
+    texts = [b"", b"a", b"ab", b"abc", b"abcd", b"iceberg", "é𝒳".encode() * 9, b"iceberg", bytes(range(250, 256))]
+    assert tr.murmur3_bytes(texts).tolist() == [tr.murmur3(b) for b in texts] and len(tr.murmur3_bytes([])) == 0
     assert tr.murmur3_longs(x).tolist() == [tr.murmur3(int(v).to_bytes(8, "little", signed=True)) for v in x]
 
 

@@ -108,9 +108,34 @@ def long_hash(x: pd.Series) -> pd.Series:
     return out
 
 
+def murmur3_bytes(values: list[bytes]) -> np.ndarray:
+    """Murmur3 of byte strings, all of one length at a time."""
+    turned = lambda v, n: v << np.uint32(n) | v >> np.uint32(32 - n)
+    lengths = np.array([len(v) for v in values], np.int64)
+    out = np.zeros(len(values), np.uint32)
+    for n in np.unique(lengths).tolist():
+        where = np.flatnonzero(lengths == n)
+        padded = np.zeros((len(where), -(-n // 4) * 4), np.uint8)
+        padded[:, :n] = np.frombuffer(b"".join(values[i] for i in where.tolist()), np.uint8).reshape(len(where), n)
+        words = padded.view("<u4").astype(np.uint32)
+        h = np.zeros(len(where), np.uint32)
+        for k in range(words.shape[1]):
+            h ^= turned(words[:, k] * np.uint32(_C1), 15) * np.uint32(_C2)
+            if k < n // 4:  # what is left of a word is only mixed in
+                h = turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(n)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        out[where] = h ^ h >> np.uint32(16)
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def _bytes_hash(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else murmur3(bytes(b)))
+    there = data.notna()
+    out = pd.Series(pd.array([None] * len(data), "Int64"), index=data.index)
+    out[there] = murmur3_bytes([bytes(b) for b in data[there]]).astype(np.int64)
+    return out
 
 
 def _as_long(c: Column, kind: str) -> Column:
