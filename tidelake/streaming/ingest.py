@@ -51,6 +51,12 @@ def classify(records: DataFrame, value: Column, fields: list[ty.Field]) -> DataF
     return records.withColumn("__record", coerce_json(value, fields)).select(*records.columns, "__record.*")
 
 
+def keyed(records: DataFrame, partition: list[Column], source: tuple[str, str, str] = ("topic", "partition", "offset")) -> DataFrame:
+    """Records with a staging key, their table partition and place in the log; a record that came twice is there once."""
+    group = F.concat_ws("/", *(F.coalesce(p.cast("string"), F.lit("\u0000")) for p in partition)) if partition else F.lit("")
+    return records.dropDuplicates(list(source)).withColumn("staging_key", F.struct(group.alias("group"), *source))
+
+
 def drop_counts(classified: DataFrame) -> DataFrame:
     return classified.where("drop_reason is not null").groupBy("drop_reason").count()
 
@@ -63,7 +69,26 @@ def flush_groups(staged: DataFrame, group: list[str], size: str, staged_at: str,
 
 
 def derive_event_columns(events: DataFrame, ts: str = "ts", props: str = "props") -> DataFrame:
-    """Event columns that follow from others: the UTC date, and the properties as a variant."""
+    """Event columns that follow from others: the UTC date and month, and the properties as a variant."""
     from ..functions.variant import to_variant
 
-    return events.withColumn("event_date", F.to_date(ts)).withColumn("properties", to_variant(F.col(props)))
+    return events.withColumn("event_date", F.to_date(ts)).withColumn("event_month", F.date_format(ts, "yyyy-MM")).withColumn("properties", to_variant(F.col(props)))
+
+
+def uuid_text(blob: Column) -> Column:
+    """Sixteen bytes as a UUID's text; null for any other number of bytes."""
+    h = F.lower(F.hex(blob))
+    dashed = F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12))
+    return F.when(F.octet_length(blob) == 16, dashed)
+
+
+def by_month(tables: Callable[[str], Table], query: str, ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """For `foreachBatch`: each month's rows go to the table that `tables` names for it, once whatever is replayed."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        months = batch.select(F.date_format(ts, "yyyy-MM").alias("m")).distinct().orderBy("m")
+        for m in [r.m for r in months.collect()]:  # a few months a batch
+            own = F.lit(m).eqNullSafe(F.date_format(ts, "yyyy-MM"))
+            with_retries(lambda m=m, own=own: tables(m).append(batch.where(own), key=f"{query}/{number}/{m}"))
+
+    return write
