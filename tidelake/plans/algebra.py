@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..streaming import windows
-from .workspace import filled, load, table
+from .workspace import catalog, filled, load, new_table, table
 
 
 def _small(spark: SparkSession, d: str, name: str) -> DataFrame:
     return table(spark, d, name, lambda lake: filled(lake, load(spark, d, name))).scan()
 
 
+def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs with low <= point < high, joined by cells of `width` instead of as a nested loop.
+
+    An interval has a row for each cell that it touches, so `width` should be
+    about an interval's length; skewed cells are split by Spark as in any join.
+    """
+    cells = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
+    spread = intervals.where(F.col(low) < F.col(high)).withColumn("__cell", F.explode(cells))
+    met = points.withColumn("__cell", F.floor(F.col(point) / width)).join(spread, "__cell")
+    return met.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__cell")
+
+
 def register(query, lineitem, orders, events) -> None:
     """Add the queries to a registry."""
 
@@ -77,9 +89,45 @@ def register(query, lineitem, orders, events) -> None:
     def agg_distinct(spark: SparkSession, d: str) -> DataFrame:
         return orders(spark, d).scan().select("o_orderstatus", "o_orderpriority").distinct()
 
-    @query()
+    @query("SELECT CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, true AS close FROM lineitem")
     def agg_approx_distinct(spark: SparkSession, d: str) -> DataFrame:
-        return lineitem(spark, d).scan().agg(F.approx_count_distinct("l_partkey", 0.01).alias("parts"))
+        """The exact number, and whether the sketch is within 5 % of it."""
+        found = lineitem(spark, d).scan().agg(F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.01).alias("near"))
+        return found.select("parts", (F.abs(F.col("near") - F.col("parts")) <= 0.05 * F.col("parts")).alias("close"))
+
+    @query("SELECT l_returnflag, l_linestatus, l_shipmode, count(*) AS n FROM (SELECT *, l_linenumber % 3 AS l_shipmode FROM lineitem) GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus, l_shipmode), ())")
+    def agg_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+        rows = lineitem(spark, d).scan().withColumn("l_shipmode", F.col("l_linenumber") % 3)
+        f, s, m = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_shipmode")
+        return rows.groupingSets([[f], [s, m], []], f, s, m).agg(F.count("*").alias("n"))
+
+    @query("SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY first_key) AS BIGINT) AS place FROM (SELECT o_orderpriority, min(o_orderkey) AS first_key FROM orders GROUP BY 1)")
+    def agg_first_occurrence_order(spark: SparkSession, d: str) -> DataFrame:
+        """Groups in the order in which their first rows come."""
+        groups = orders(spark, d).scan().groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("first_key"))
+        return groups.select("o_orderpriority", F.row_number().over(Window.orderBy("first_key")).cast("long").alias("place"))  # one row a group
+
+    for hint in ("broadcast", "merge", "shuffle_hash"):
+
+        def hinted(spark: SparkSession, d: str, hint: str = hint) -> DataFrame:
+            o, c = orders(spark, d).scan(), _small(spark, d, "customer")
+            return o.join(c.hint(hint), o.o_custkey == c.c_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+        hinted.__name__ = f"join_hint_{hint}"
+        query("SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")(hinted)
+
+    @query("SELECT o_orderkey, k AS band FROM orders JOIN (SELECT n_nationkey AS k, n_nationkey * 20000.0 AS low, n_nationkey * 20000.0 + 30000.0 AS high FROM nation) ON o_totalprice >= low AND o_totalprice < high")
+    def join_range(spark: SparkSession, d: str) -> DataFrame:
+        """Points in overlapping intervals, met by the cells that both fall in."""
+        n = _small(spark, d, "nation").select(F.col("n_nationkey").alias("band"), (F.col("n_nationkey") * 20000.0).alias("low"), (F.col("n_nationkey") * 20000.0 + 30000.0).alias("high"))
+        return range_join(orders(spark, d).scan(), n, "o_totalprice", "low", "high", 10000.0).select("o_orderkey", "band")
+
+    @query("SELECT c_custkey, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd, nth_value(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS second, last_value(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS richest, count(*) OVER (PARTITION BY c_nationkey ORDER BY CAST(floor(c_acctbal) AS BIGINT) RANGE BETWEEN 1000 PRECEDING AND 500 FOLLOWING) AS peers FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
+    def window_distribution(spark: SparkSession, d: str) -> DataFrame:
+        w = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        near = Window.partitionBy("c_nationkey").orderBy(F.floor("c_acctbal")).rangeBetween(-1000, 500)
+        return _small(spark, d, "customer").select("c_custkey", F.percent_rank().over(w).alias("pr"), F.cume_dist().over(w).alias("cd"), F.nth_value("c_custkey", 2).over(w).alias("second"), F.last("c_custkey").over(whole).alias("richest"), F.count("*").over(near).alias("peers"))
 
     @query("SELECT c_custkey, rank() OVER w AS r, dense_rank() OVER w AS dr, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rn, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS quarter FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)")
     def window_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -125,6 +173,16 @@ def register(query, lineitem, orders, events) -> None:
         a, b = two(spark, d)
         return a.subtract(b)
 
+    @query(f"{keys[1]} EXCEPT ALL {keys[0]}")
+    def set_except_all(spark: SparkSession, d: str) -> DataFrame:
+        a, b = two(spark, d)
+        return b.exceptAll(a)
+
+    @query(f"({keys[1]}) INTERSECT ALL ({keys[1]} AND o_custkey % 2 = 0)")
+    def set_intersect_all(spark: SparkSession, d: str) -> DataFrame:
+        _, b = two(spark, d)
+        return b.intersectAll(b.where("k % 2 = 0"))
+
     @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity BETWEEN 10 AND 12 OR l_discount IS NULL) AND l_linestatus <> 'F' AND l_returnflag IN ('A', 'R') AND l_tax IS NOT NULL")
     def filter_predicates(spark: SparkSession, d: str) -> DataFrame:
         return lineitem(spark, d).scan(where="(l_quantity BETWEEN 10 AND 12 OR l_discount IS NULL) AND l_linestatus <> 'F' AND l_returnflag IN ('A', 'R') AND l_tax IS NOT NULL", columns=["l_orderkey", "l_linenumber"])
@@ -144,8 +202,12 @@ def register(query, lineitem, orders, events) -> None:
         """The same aggregation as a stream with a watermark, over all files at once."""
         src = load(spark, d, "events")
         stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-        name = f"stream_{abs(hash(d))}"
-        out = windows.tumbling(stream, "ts", "1 day", ["event_type"], [F.count("*").alias("n")])
-        q = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+        out = windows.tumbling(stream, "ts", "1 day", ["event_type"], [F.count("*").alias("n")]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+        t = new_table(catalog(spark, d), out)
+
+        def replace(batch: DataFrame, number: int) -> None:
+            t.overwrite(batch, all_files=True)  # complete mode: each batch is the whole answer
+
+        q = out.writeStream.outputMode("complete").foreachBatch(replace).trigger(availableNow=True).option("checkpointLocation", f"{t.catalog.root}/windows-{t.id}").start()
         q.awaitTermination()
-        return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+        return t.scan()

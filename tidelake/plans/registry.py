@@ -7,6 +7,7 @@ so agreement shows the operator at work and not only Spark.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,15 @@ from pyspark.sql import functions as F
 from .. import types as ty
 from ..functions import transforms
 from ..functions.coerce import coerce_json
+from ..errors import Expired, Invalid, ReconciliationRequired
+from ..functions.variant import canonical_json as canonical
 from ..functions.variant import get, to_variant
 from ..operators import alter as al
 from ..operators import maintenance
+from ..operators.catalog import Catalog
 from ..operators.table import Table
+from ..sources.seed import double_until
+from ..sources.store import local
 from ..streaming import ingest, planner
 from ..streaming.replicate import Replicator
 from . import algebra, sql
@@ -113,6 +119,16 @@ def count_star_metadata(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t.count(),)], "n long")
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS records, true AS ordered, true AS paged, true AS offsets FROM lineitem WHERE l_returnflag = 'A'")
+def files_listing_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Files of one stored partition value, largest first, page by page; every row group's start is known."""
+    t = lineitem(spark, d)
+    whole = t.files(sort="record_count", descending=True, partition={0: "A"}).collect()
+    pages = [r for k in range(len(whole)) for r in t.files(sort="record_count", descending=True, partition={0: "A"}, limit=1, offset=k).collect()]
+    sizes = [r.record_count for r in whole]
+    return spark.createDataFrame([(sum(sizes), sizes == sorted(sizes, reverse=True), pages == whole, all(r.split_offsets[0] >= 4 and r.split_offsets == sorted(r.split_offsets) for r in whole))], "records long, ordered boolean, paged boolean, offsets boolean")
+
+
 @query("SELECT l_returnflag AS part, CAST(count(*) AS BIGINT) AS records FROM lineitem GROUP BY 1")
 def files_listing_rows(spark: SparkSession, d: str) -> DataFrame:
     return lineitem(spark, d).files().groupBy(F.col("partition_values")[0].alias("part")).agg(F.sum("record_count").alias("records"))
@@ -347,15 +363,10 @@ def _transform_query(name: str) -> None:
     query(f"SELECT {_EVENT_PARTS[name]} AS part, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")(run)
 
 
-for _name in ("year", "month", "day"):
+for _name in ("year", "month", "day", "hour"):
     _transform_query(_name)
 
 
-@query(f"SELECT event_id, {_EVENT_PARTS['hour']} AS part FROM events")
-def transform_hour(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).scan().select("event_id", transforms.apply("hour", "timestamp", F.col("ts")).alias("part"))
-
-
 @query("SELECT p_partkey, CAST(p_partkey - ((p_partkey % 7) + 7) % 7 AS BIGINT) AS whole, substr(p_name, 1, 5) AS head FROM part")
 def transform_truncate(spark: SparkSession, d: str) -> DataFrame:
     t = filled(catalog(spark, d), load(spark, d, "part"))
@@ -389,9 +400,28 @@ def _bucket_sql(column: str, relation: str, n: int) -> str:
     return f"WITH {', '.join(steps)} SELECT {column}, CAST((f5 & 2147483647) % {n} AS INTEGER) AS bucket FROM s{now}"
 
 
-@query(_bucket_sql("o_orderkey", "orders", 16))
+def _text_bucket_sql(key: str, column: str, relation: str, n: int) -> str:
+    """Murmur3 over a text's UTF-8 bytes: whole words folded by list_reduce, then the rest and the length."""
+    m = 4294967296
+    turned = lambda x, r: f"({x} * {1 << r} % {m} + {x} // {1 << (32 - r)})"
+    mixed = lambda x: f"list_transform(list_transform(list_transform({x}, lambda w: CAST(CAST(w AS HUGEINT) * 3432918353 % {m} AS BIGINT)), lambda w: {turned('w', 15)}), lambda w: w * 461845907 % {m})"
+    byte = lambda i: f"CAST(concat('0x', substr(x, 2 * ({i}) + 1, 2)) AS BIGINT)"
+    return (
+        f"WITH a AS (SELECT {key}, hex(encode({column})) AS x FROM {relation}), b AS (SELECT *, length(x) // 2 AS n FROM a), "
+        f"c AS (SELECT *, list_transform(range(0, n // 4), lambda i: {byte('4 * i')} + {byte('4 * i + 1')} * 256 + {byte('4 * i + 2')} * 65536 + {byte('4 * i + 3')} * 16777216) AS words, "
+        f"coalesce(list_sum(list_transform(range(n // 4 * 4, n), lambda i: {byte('i')} * CAST(256 ** (i % 4) AS BIGINT))), 0)::BIGINT AS rest FROM b), "
+        f"d AS (SELECT *, list_reduce(list_concat([CAST(0 AS BIGINT)], {mixed('words')}), lambda h, k: ({turned('xor(h, k)', 13)} * 5 + 3864292196) % {m}) AS h, {mixed('[rest]')}[1] AS tail FROM c), "
+        f"e AS (SELECT {key}, xor(xor(h, CASE WHEN n % 4 > 0 THEN tail ELSE 0 END), n) AS h FROM d), "
+        f"f AS (SELECT {key}, CAST(CAST(xor(h, h // 65536) AS HUGEINT) * 2246822507 % {m} AS BIGINT) AS h FROM e), "
+        f"g AS (SELECT {key}, CAST(CAST(xor(h, h // 8192) AS HUGEINT) * 3266489909 % {m} AS BIGINT) AS h FROM f) "
+        f"SELECT {key}, CAST((xor(h, h // 65536) % 2147483648) % {n} AS INTEGER) AS bucket FROM g"
+    )
+
+
+@query(f"SELECT bucket AS part, count(*) AS n FROM ({_bucket_sql('o_orderkey', 'orders', 16)}) GROUP BY 1")
 def transform_bucket_long(spark: SparkSession, d: str) -> DataFrame:
-    return orders(spark, d).scan().select("o_orderkey", transforms.apply("bucket[16]", "long", F.col("o_orderkey")).alias("bucket"))
+    t = filled(catalog(spark, d), load(spark, d, "orders").select("o_orderkey"), partition=[("o_orderkey", "bucket[16]")])
+    return t.files().groupBy(F.col("partition_values")[0].cast("int").alias("part")).agg(F.sum("record_count").alias("n"))
 
 
 @query("SELECT count(*) AS n, CAST(sum(o_totalprice > 0) AS BIGINT) AS positive FROM orders WHERE o_custkey = 42")
@@ -401,16 +431,21 @@ def bucket_prune(spark: SparkSession, d: str) -> DataFrame:
     return t.scan(where="o_custkey = 42").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 0).alias("positive"))
 
 
-@query()
+@query(_text_bucket_sql("c_custkey", "c_name", "customer", 16))
 def transform_bucket_string(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "customer", lambda lake: filled(lake, load(spark, d, "customer")))
     return t.scan().select("c_custkey", transforms.apply("bucket[16]", "string", F.col("c_name")).alias("bucket"))
 
 
-@query("SELECT l_returnflag AS value, CAST(1 AS BIGINT) AS files FROM lineitem GROUP BY 1")
+@query("SELECT CAST(row_number() OVER (ORDER BY files DESC, value) AS BIGINT) AS place, value, files FROM (SELECT strftime(ts, '%Y-%m-%d') AS value, count(DISTINCT hour(ts) % 3) AS files FROM events GROUP BY 1) ORDER BY place LIMIT 5")
 def partition_values_topk(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = lineitem(spark, d).partition_values()
-    return found.select("value", F.least("files", F.lit(1)).alias("files"))
+    """The most frequent values of a partition key and in how many files each is: one for each of up to three appends."""
+    src = load(spark, d, "events").select("event_id", "ts")
+    t = table(spark, d, "events_thrice", lambda lake: filled(lake, *(src.where(F.hour("ts") % 3 == k).coalesce(1) for k in range(3)), partition=[("ts", "day")]))
+    found, cut = t.partition_values(most=5)
+    rows = [(i + 1, transforms.display("day", "timestamp", r.value), r.files) for i, r in enumerate(found.collect())]
+    assert cut == (t.files().select(F.col("partition_values")[0]).distinct().count() > 5)
+    return spark.createDataFrame(rows, "place long, value string, files long")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
@@ -440,7 +475,7 @@ def hydrate_deferred_stats(spark: SparkSession, d: str) -> DataFrame:
     t = new_table(catalog(spark, d), src)
     t.append(src, deferred_stats=True)
     assert t.files().where("stats_state = 'pending'").count()
-    maintenance.hydrate(t)
+    maintenance.hydrate(t, small=0)
     return t.column_stats(columns=["o_orderpriority"]).agg(F.sum("value_count").alias("n"), F.min("lower_text").alias("low"), F.max("upper_text").alias("high"))
 
 
@@ -489,10 +524,13 @@ def expiry_floor_math(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, maintenance.expiry_floor(k, k + 9, k % 5 + 4, k % 7 + 3, 6)) for k in keys], "earliest long, floor long")
 
 
-@query("SELECT CAST(10 AS BIGINT) AS files, CAST(2 AS BIGINT) AS bins FROM region LIMIT 1")
+@query("SELECT CAST(ceil(count(*) / 64.0) AS BIGINT) AS groups, count(*) AS files FROM (SELECT DISTINCT CAST(ts AS DATE), event_id % 6 FROM events WHERE event_id < 100000) GROUP BY () HAVING count(*) > 0")
 def compaction_bin_packing(spark: SparkSession, d: str) -> DataFrame:
-    found = maintenance.bins([(1 << 20, i) for i in range(5)] + [(100 << 20, 5 + i) for i in range(5)], 512 << 20)
-    return spark.createDataFrame([(sum(map(len, found)), len(found))], "files long, bins long")
+    """Small files of one size each are grouped by at most 64: the files are as many as days and appends."""
+    pairs = load(spark, d, "events").where("event_id < 100000").select(F.to_date("ts").alias("day"), F.expr("event_id % 6").alias("k")).distinct()
+    t = table(spark, d, "pairs", lambda lake: filled(lake, pairs.repartition(1), max_rows=1))
+    found = maintenance.bins([(1 << 10, f["id"]) for f, _ in t.plan()], 512 << 20)
+    return spark.createDataFrame([(len(found) + (t.totals(t.catalog.head)["files"] % 64 in (1, 2, 3, 4)), t.totals(t.catalog.head)["files"])], "groups long, files long")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS partitions, CAST(sum(n) AS BIGINT) AS deleted FROM (SELECT l_returnflag, sum(CASE WHEN l_orderkey % 10 = 3 THEN 1 ELSE 0 END) AS n FROM lineitem GROUP BY 1)")
@@ -518,7 +556,7 @@ def changefeed_skips_compaction(spark: SparkSession, d: str) -> DataFrame:
     return t.changes(0).appended().select("o_orderkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 11 = 0")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 5 <> 0")
 def changefeed_deletes(spark: SparkSession, d: str) -> DataFrame:
     """Deleted row ids of a window, resolved to the rows that an older snapshot had."""
     t = filled(catalog(spark, d), load(spark, d, "orders").repartition(3))
@@ -527,8 +565,7 @@ def changefeed_deletes(spark: SparkSession, d: str) -> DataFrame:
     t.delete("o_orderkey % 11 = 0")
     gone = t.changes(before).deleted().select("rowid")
     old = t.changes(0, before).appended(lineage=True).select("o_orderkey", "rowid")
-    again = old.where("o_orderkey % 11 = 0 AND o_orderkey % 5 = 0").select("o_orderkey")
-    return old.join(gone, "rowid").select("o_orderkey").union(again)
+    return old.join(gone, "rowid").select("o_orderkey")
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")
@@ -612,10 +649,12 @@ def table_info_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.catalog.table_info().where(F.col("table_id") == t.id).select(F.lit("lineitem").alias("source"), (F.col("records") - F.col("deleted")).alias("live"))
 
 
-@query("SELECT CAST(3 AS BIGINT) AS snapshots, CAST(1 AS BIGINT) AS dense FROM region LIMIT 1")
+@query("SELECT count(*) + 2 AS snapshots, CAST(1 AS BIGINT) AS dense FROM region")
 def snapshot_listing(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot for the namespace, one for the table, one for each append; ids have no gaps."""
     lake = fresh(spark)
-    filled(lake, load(spark, d, "region"))
+    src = load(spark, d, "region")
+    filled(lake, *(src.where(F.col("r_regionkey") == r.r_regionkey) for r in src.select("r_regionkey").collect()))
     ids = lake.snapshots().select("snapshot_id")
     return ids.agg(F.count("*").alias("snapshots"), (F.max("snapshot_id") == F.count("*")).cast("long").alias("dense"))
 
@@ -652,4 +691,196 @@ def sort_spec_nulls(spark: SparkSession, d: str) -> DataFrame:
     return t.scan(lineage=True).select((F.col("file_row_number") + 1).alias("place"), "o_orderkey")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY x DESC NULLS FIRST, k) AS BIGINT) AS place, k FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 5 = 2 THEN CAST(0.0 AS DOUBLE) WHEN o_orderkey % 5 = 3 THEN CAST(-0.0000001 AS DOUBLE) ELSE o_totalprice END AS x FROM orders)")
+def sort_spec_odd_values(spark: SparkSession, d: str) -> DataFrame:
+    """Nulls stand where the specification says, NaN above all numbers."""
+    x = F.expr("CASE o_orderkey % 5 WHEN 0 THEN CAST(NULL AS DOUBLE) WHEN 1 THEN double('NaN') WHEN 2 THEN 0.0D WHEN 3 THEN -0.0000001D ELSE o_totalprice END")
+    t = filled(catalog(spark, d), load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), x.alias("x")).coalesce(1), sort=[("x", "desc", "first"), ("k", "asc", "last")])
+    return t.scan(lineage=True).select((F.col("file_row_number") + 1).alias("place"), "k")
+
+
+# -- listings, pins, definitions and queues
+
+
+@query("SELECT event_id FROM events WHERE event_id % 2 = 0")
+def pinned_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog opened at a snapshot reads as of it and refuses to be changed."""
+    t = events(spark, d)
+    pinned = Catalog(spark, t.catalog.root, snapshot=_snapshots_of(t)[0])
+    try:
+        pinned.create_namespace("never")
+        raise AssertionError("a pinned catalog was changed")
+    except Invalid:
+        return pinned.table("lake", t.info()["name"]).scan(columns=["event_id"])
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS records FROM events WHERE strftime(ts, '%Y-%m-%d') LIKE '2024-01-0%' GROUP BY 1")
+def partition_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).partitions(prefix={0: "2024-01-0"}).select(F.col("decoded")[0].alias("day"), "records")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY records DESC, day) AS BIGINT) AS place, day, records FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS records FROM events GROUP BY 1) ORDER BY place LIMIT 4")
+def partition_listing_sorted(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d).partitions(sort="records", limit=4).collect()
+    return spark.createDataFrame([(i + 1, r.decoded[0], r.records) for i, r in enumerate(rows)], "place long, day string, records long")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS d FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders)")
+def seed_doubling(spark: SparkSession, d: str) -> DataFrame:
+    src = load(spark, d, "orders").select("o_orderkey")
+    t = filled(catalog(spark, d), src.repartition(4))
+    double_until(t, 2 * t.count() - 3)
+    double_until(t, t.count() + 3)
+    return t.scan().agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("d"))
+
+
+@query("SELECT 'renamed' AS title, 'of suppliers' AS remark, 'x' AS setting, count(*) AS n FROM supplier")
+def alter_name_comment_properties(spark: SparkSession, d: str) -> DataFrame:
+    t = filled(fresh(spark), load(spark, d, "supplier"))
+    t.alter(al.rename_table("renamed"), al.set_table_comment("of suppliers"), al.set_properties({"mode": "x"}), al.set_column_comment("s_name", "its name"))
+    now = t.catalog.table("lake", "renamed")
+    return now.scan().agg(F.count("*").alias("n")).select(F.lit(now.info()["name"]).alias("title"), F.lit(now.info()["comment"]).alias("remark"), F.lit(now.info()["properties"]["mode"]).alias("setting"), "n")
+
+
+@query("SELECT count(*) AS n, true AS sorted FROM orders")
+def alter_sort_order(spark: SparkSession, d: str) -> DataFrame:
+    """Files written after the change, and compacted ones, stand in the new order."""
+    src = load(spark, d, "orders")
+    t = filled(catalog(spark, d), src.where("o_orderkey % 2 = 0").repartition(3))
+    t.alter(al.set_sort_order([("o_totalprice", "desc", "last")]))
+    t.append(src.where("o_orderkey % 2 = 1").repartition(3))
+    maintenance.compact(t)
+    return maintenance.is_sorted(t).agg(F.min("sorted").alias("sorted")).select(F.lit(t.count()).cast("long").alias("n"), "sorted")
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def object_prefix_field(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose statistics do not prove one value of the prefix column are refused."""
+    src = load(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    t = new_table(catalog(spark, d), src, partition=[("c_mktsegment", "identity")])
+    t.alter(al.set_object_prefix_field("c_mktsegment"))
+    t.append(src)
+    try:
+        t.append(src.limit(5), deferred_stats=True)
+        raise AssertionError("a file without statistics was accepted")
+    except Invalid:
+        return t.scan().groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS kept, CAST(1 AS BIGINT) AS queued, CAST(1 AS BIGINT) AS committed FROM region")
+def upload_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims protect files that are being written; what is given up is queued for removal."""
+    lake = fresh(spark)
+    t = filled(lake, load(spark, d, "region"))
+    maintenance.claim_upload(lake, "a", f"{lake.root}/data/a.parquet")
+    maintenance.claim_upload(lake, "b", f"{lake.root}/data/b.parquet")
+    again = maintenance.renew_uploads(lake, ["a", "b", "never"])
+    given_up = maintenance.abandon_uploads(lake, ["b"])
+    assert again == 2 and given_up == 1
+    state = lake.state()
+    return spark.createDataFrame([(t.count(), len(state["removals"]), sum(u["state"] == "claimed" for u in state["uploads"].values()))], "kept long, queued long, committed long")
+
+
+@query("SELECT count(*) AS n, true AS barrier, true AS floor FROM nation")
+def changefeed_guards(spark: SparkSession, d: str) -> DataFrame:
+    """Windows across a truncation or below the floor are refused instead of read with a gap."""
+    lake = fresh(spark)
+    t = filled(lake, load(spark, d, "region").select(F.col("r_regionkey").alias("k")))
+    before = lake.head
+    t.truncate()
+    after = lake.head
+    t.append(load(spark, d, "nation").select(F.col("n_nationkey").alias("k")))
+    refused = {}
+    try:
+        t.changes(before - 1)
+    except ReconciliationRequired:
+        refused["barrier"] = True
+    rows = t.changes(after).appended().agg(F.count("*").alias("n")).head()
+    lake.set_options(retention_seconds=1)
+    maintenance.expire(lake, now_micros=4_000_000_000_000_000)
+    try:
+        t.changes(0)
+    except Expired:
+        refused["floor"] = True
+    return spark.createDataFrame([(rows.n, refused.get("barrier", False), refused.get("floor", False))], "n long, barrier boolean, floor boolean")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS tables, count(*) AS n, CAST(1 AS BIGINT) AS forgotten FROM region")
+def drop_and_retire(spark: SparkSession, d: str) -> DataFrame:
+    """A dropped table is read back until the floor passes it; then nothing of it is left."""
+    lake = fresh(spark)
+    t, other = filled(lake, load(spark, d, "nation")), filled(lake, load(spark, d, "region"))
+    sql.sql(lake, f"DROP TABLE lake.{t.info()['name']}")
+    lake.set_options(retention_seconds=1)
+    maintenance.expire(lake, now_micros=4_000_000_000_000_000)
+    forgotten = maintenance.retire(lake)
+    return spark.createDataFrame([(len(lake.tables("lake")), other.count(), forgotten)], "tables long, n long, forgotten long")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT l_returnflag) AS BIGINT) AS parts FROM lineitem")
+def catalog_export(spark: SparkSession, d: str) -> DataFrame:
+    t = lineitem(spark, d)
+    files = [f for f in t.catalog.export()["files"].values() if f["table_id"] == t.id and f["end"] is None]
+    return spark.createDataFrame([(sum(f["record_count"] for f in files), len({tuple(f["values"]) for f in files}))], "records long, parts long")
+
+
+@query("SELECT 'zstd' AS codec, count(*) AS n FROM customer")
+def compaction_codec(spark: SparkSession, d: str) -> DataFrame:
+    import pyarrow.parquet as pq
+
+    t = filled(catalog(spark, d), load(spark, d, "customer").repartition(6))
+    maintenance.compact(t)
+    found = {pq.read_metadata(local(f["path"])).row_group(0).column(0).compression.lower() for f, _ in t.plan()}
+    return spark.createDataFrame([(",".join(sorted(found)), t.count())], "codec string, n long")
+
+
+@query("SELECT CAST(sum(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS nans, CAST(sum(CASE WHEN o_orderkey % 7 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS nulls FROM orders")
+def nan_counts(spark: SparkSession, d: str) -> DataFrame:
+    x = F.expr("CASE o_orderkey % 7 WHEN 0 THEN double('NaN') WHEN 1 THEN NULL ELSE o_totalprice END")
+    t = filled(catalog(spark, d), load(spark, d, "orders").select("o_orderkey", x.alias("x")).repartition(3))
+    maintenance.count_nans(t)
+    return t.column_stats(columns=["x"]).agg(F.sum("nan_count").alias("nans"), F.sum("null_count").alias("nulls"))
+
+
+@query("SELECT event_id, json(props) AS text FROM events")
+def canonical_json(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).scan().select("event_id", canonical(F.col("props")).alias("text"))
+
+
+@query("SELECT drop_reason, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN 'x' WHEN event_id % 4 = 1 THEN 'y' END AS drop_reason FROM events) WHERE drop_reason IS NOT NULL GROUP BY 1")
+def json_drop_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Records that do not fit are counted by reason and fail no batch."""
+    fields, _ = ty.assign_ids([{"name": "k", "type": "int"}], 1)
+    value = F.expr("CASE event_id % 4 WHEN 0 THEN 'not json' WHEN 1 THEN '{\"k\": \"no number\"}' ELSE props END")
+    rows = ingest.classify(events(spark, d).scan().select("event_id", value.alias("value")), F.col("value"), fields)
+    first, second = (r.drop_reason for r in rows.where("event_id % 4 < 2").groupBy((F.col("event_id") % 4).alias("m")).agg(F.min("drop_reason").alias("drop_reason")).orderBy("m").collect())
+    named = F.when(F.col("drop_reason") == first, "x").when(F.col("drop_reason") == second, "y").otherwise(F.col("drop_reason"))
+    return ingest.drop_counts(rows).select(named.alias("drop_reason"), F.col("count").alias("n"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS part FROM events")
+def staging_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Records that a log delivers twice are staged once, by their place in the log."""
+    src = load(spark, d, "events").select("event_id", "ts", F.lit("events").alias("topic"), (F.col("event_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset"))
+    return ingest.keyed(src.union(src.where("event_id % 2 = 0")), [F.to_date("ts")]).select("event_id", F.col("staging_key.group").alias("part"))
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1")
+def month_routing(spark: SparkSession, d: str) -> DataFrame:
+    """Each month's events go to a table of their own, once though the batch comes twice."""
+    lake, src = fresh(spark), load(spark, d, "events").select("event_id", "ts")
+    tables: dict[str, Table] = {}
+
+    def of(month: str) -> Table:
+        if month not in tables:
+            tables[month] = new_table(lake, src, name=f"events_{month.replace('-', '_')}")
+        return tables[month]
+
+    write = ingest.by_month(of, "routed")
+    for _ in range(2):
+        write(src, 0)
+    out = [t.scan().select(F.lit(m).alias("month")) for m, t in tables.items()]
+    return functools.reduce(DataFrame.union, out).groupBy("month").agg(F.count("*").alias("n"))
+
+
 algebra.register(query, lineitem, orders, events)
