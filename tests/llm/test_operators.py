@@ -201,7 +201,7 @@ def test_lm_automaton(monkeypatch):
         assert sum(r.p(before, x) for x in [*r.words, b"unknown"]) == pytest.approx(1.0)
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), pa.array([i < 5 for i, _ in rows])], ["i", "t", "trains"])
     (made,) = list(lm_scores._blocks(iter([batch])))
-    block = lm_scores.Block(made.column(2)[0].as_py(), *(made.column(k)[0].as_py() for k in (3, 4, 5)), 60)
+    block = lm_scores.Block(made.column(2)[0].as_py(), *(made.column(k)[0].as_py() for k in (3, 4, 5, 6)), 60)
     own = np.delete(block.counts()[0], block.start)
     for part in (lm_scores.PART, 3, 7):
         monkeypatch.setattr(lm_scores, "PART", part)

@@ -64,19 +64,26 @@ _END, _START = np.uint64(0x0E0E0E0E0E0E0E0E), np.uint64(0x0B0B0B0B0B0B0B0B)
 _ORDERS = ("words", "bigrams", "trigrams")
 
 
+def _by_frequency(often: np.ndarray) -> np.ndarray:
+    """Words' numbers, the most frequent first."""
+    return np.argsort(-often.astype(np.int64), kind="stable")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, text, trains -> blocks: ids, flags, tokens per text, distinct words, tokens as word numbers, their count."""
+    """Rows of doc_id, text, trains -> blocks: ids, flags, tokens per text, distinct words, how often each stands there, tokens as ranks of words, their count."""
     for whole in batches:
         for a, b in textkit.slices(whole.column(1), BLOCK_BYTES):
             part = whole.slice(a, b - a)
             hashes, firsts = textkit.words(part.column(1), textkit.SPACE_WORD)
             sizes = np.diff(firsts)
-            words, numbers = np.unique(np.insert(hashes, firsts[1:], _END), return_inverse=True)
+            words, numbers, often = np.unique(np.insert(hashes, firsts[1:], _END), return_inverse=True, return_counts=True)
+            rank = np.empty(len(words), np.int64)
+            rank[_by_frequency(often)] = np.arange(len(words))  # small numbers for frequent words compress well
             ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0))
             flags = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(2))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), ids, flags, pa.array([textkit.squeeze(sizes + 1)]), pa.array([textkit.squeeze_keys(words)]), pa.array([textkit.squeeze(numbers)]), pa.array([len(numbers)], pa.int64())],
-                ["block", "ids", "trains", "sizes", "words", "tokens", "n"],
+                [pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), ids, flags, pa.array([textkit.squeeze(sizes + 1)]), pa.array([textkit.squeeze_keys(words)]), pa.array([textkit.squeeze(often)]), pa.array([textkit.squeeze(rank[numbers])]), pa.array([len(numbers)], pa.int64())],
+                ["block", "ids", "trains", "sizes", "words", "often", "tokens", "n"],
             )
 
 
@@ -87,13 +94,13 @@ class Block:
     text's first token, where no trigram ends, it has a number past the last.
     """
 
-    def __init__(self, trains: list[bool], sizes: bytes, words: bytes, tokens: bytes, bits: int):
+    def __init__(self, trains: list[bool], sizes: bytes, words: bytes, often: bytes, tokens: bytes, bits: int):
         self.sizes = textkit.expand(sizes).astype(np.int64)
-        numbers = textkit.expand(tokens).astype(np.int64)
+        numbers = _by_frequency(textkit.expand(often))[textkit.expand(tokens).astype(np.int64)]
         known = np.append(textkit.expand_keys(words), _START)
-        order = np.argsort(known)  # the start's key stands somewhere among the others
+        order = np.argsort(known).astype(np.int32)  # the start's key stands somewhere among the others
         place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.start = int(place[-1])
         words_, at = known[order], place[numbers]
         first = np.cumsum(self.sizes) - self.sizes
@@ -101,13 +108,11 @@ class Block:
         self.before[1:] = at[:-1]
         self.before[first] = self.start
         pairs = textkit.pair(words_[self.before], words_[at])
-        bigrams, second = np.unique(pairs, return_inverse=True)
-        context = np.empty_like(pairs)
-        context[1:] = pairs[:-1]
-        inner = np.ones(len(at), bool)
-        inner[first] = False
-        trigrams, found = np.unique(textkit.pair(context[inner], words_[at[inner]]), return_inverse=True)
-        third = np.full(len(at), len(trigrams))
+        bigrams, second = _numbered(pairs)
+        inner = np.delete(np.arange(len(at)), first)
+        trigrams, found = _numbered(textkit.pair(pairs[inner - 1], words_[at[inner]]))
+        del pairs
+        third = np.full(len(at), len(trigrams), np.int32)
         third[inner] = found
         shift = np.uint64(64 - bits)
         self.keys = [words_, bigrams >> shift, trigrams >> shift]
@@ -135,6 +140,17 @@ class Block:
                 yield tuple(row)
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and each key's number among them."""
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    numbers = np.empty(len(keys), np.int32)
+    numbers[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], numbers
+
+
 def _cuts(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
     bounds = np.array([(s << bits) // shards for s in range(1, shards)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
@@ -145,7 +161,7 @@ _ASKED = [f"{o}{c}" for o in _ORDERS for c in ("", "_counts")]
 
 def _asker(shards: int, bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of block, trains, sizes, words, tokens -> rows of shard, block, keys and counts."""
+        """Rows of block, trains, sizes, words, often, tokens -> rows of shard, block, keys and counts."""
         for batch in batches:
             for block, trains, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = list(zip(*Block(trains, *data, bits).shares(shards), strict=True))
@@ -172,7 +188,11 @@ def _totals(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndar
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard -> rows of block, shard, totals by order; a shard's first row tells how many words it has, and how often."""
+    """Rows sorted by shard -> rows of block, shard, counts that other blocks have, by order.
+
+    These are nearly all zero for what only one block has.  A shard's first row
+    tells how many words it has, and how often.
+    """
     for group in textkit.groups(batches, 1):
         shard, blocks, *data = (group.column(i).to_pylist() for i in range(8))
         answers = []
@@ -180,7 +200,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(3):
             keys, counts = data[2 * k], data[2 * k + 1]
             distinct, totals = _totals(keys, counts)
-            answers.append(pa.array([textkit.squeeze(totals[np.searchsorted(distinct, textkit.expand_keys(x))]) for x in keys], pa.binary()))
+            answers.append(pa.array([textkit.squeeze(totals[np.searchsorted(distinct, textkit.expand_keys(x))] - textkit.expand(n).astype(np.int64)) for x, n in zip(keys, counts, strict=True)], pa.binary()))
             if k == 0:
                 of_words = totals[distinct != _START]
                 for f, n in zip(facts, (of_words.sum(), (of_words > 0).sum(), (of_words == 1).sum(), (of_words == 2).sum()), strict=True):
@@ -204,24 +224,24 @@ class Automaton:
         discount = (once + 1) / (once + 2 * twice + 2)
         q = np.where(c1 > 0, (c1 - discount) / max(n, 1), discount * v / max(n, 1)) if n else np.ones(words + 1)
         # A place of each bigram and trigram tells the n-grams it is made of.
-        at2 = np.zeros(bigrams + 1, np.int64)
-        at2[second] = np.arange(len(second))
-        at3 = np.zeros(len(counts[2]) + 1, np.int64)
-        at3[third] = np.arange(len(third))
+        at2 = np.zeros(bigrams + 1, np.int32)
+        at2[second] = np.arange(len(second), dtype=np.int32)
+        at3 = np.zeros(len(counts[2]) + 1, np.int32)
+        at3[third] = np.arange(len(third), dtype=np.int32)
         u, w, context, last = block.before[at2], block.index[0][at2], second[at3 - 1], second[at3]
         m2, m3 = masses
         p2 = (c2 + m2 * q[w]) / (c1[u] + m2)
         p3 = (c3 + m3 * p2[last]) / (c2[context] + m3)
         none = np.full(1, -1)
-        self.fail = np.concatenate([none, np.zeros(words, np.int64), 1 + w[:-1]])
+        self.fail = np.concatenate([none, np.zeros(words, np.int32), 1 + w[:-1]]).astype(np.int32)
         self.bow = np.log10(np.concatenate([[1.0], m2 / (c1[:-1] + m2), m3 / (c2[:-1] + m3)]))
         self.bigram_states = 1 + words
         state1, state2 = np.where(c1 > 0, 1 + np.arange(words + 1), 0), np.where(c2 > 0, self.bigram_states + np.arange(bigrams + 1), 0)
         self.start = int(state1[block.start])
-        self.source = [None, np.where(c2 > 0, 1 + u, -1), np.where(c3 > 0, self.bigram_states + context, -1)]
+        self.source = [None, np.where(c2 > 0, 1 + u, -1).astype(np.int32), np.where(c3 > 0, self.bigram_states + context, -1).astype(np.int32)]
         self.weight = [np.log10(q), np.log10(p2), np.log10(p3)]
         #: Where an arc leads: the longest n-gram that ends with its token and is a state.
-        self.target = [state1, np.where(c2 > 0, state2, state1[w]), state2[last]]
+        self.target = [x.astype(np.int32) for x in (state1, np.where(c2 > 0, state2, state1[w]), state2[last])]
 
     def walk(self, block: Block) -> np.ndarray:
         """Each text's log probability; texts go side by side, long ones in parts that are entered two tokens early."""
@@ -263,11 +283,12 @@ def _traverser(n: int, v: int, once: int, twice: int, bits: int, masses: tuple[f
         """Rows sorted by block and shard; the block itself comes first, as shard -1."""
         for group in textkit.groups(batches, 1):
             ids = group.column(2)[0].values
-            trains, sizes, words, tokens = (group.column(i)[0].as_py() for i in range(3, 7))
-            block = Block(trains, sizes, words, tokens, bits)
-            answers = {s: a for s, *a in zip(*(group.column(i).to_pylist()[1:] for i in (1, 7, 8, 9)), strict=True)}
+            trains, *data = (group.column(i)[0].as_py() for i in range(3, 8))
+            block = Block(trains, *data, bits)
+            answers = {s: a for s, *a in zip(*(group.column(i).to_pylist()[1:] for i in (1, 8, 9, 10)), strict=True)}
             in_order = [answers[s] for s in sorted(answers)]
-            counts = [np.concatenate([np.zeros(0, np.uint64), *(textkit.expand(a[k]) for a in in_order)]).astype(np.int64) for k in range(3)]
+            del group, data
+            counts = [own + np.concatenate([np.zeros(0, np.uint64), *(textkit.expand(a[k]) for a in in_order)]).astype(np.int64) for k, own in enumerate(block.counts())]
             score = Automaton(block, counts, n, v, once, twice, masses).walk(block)
             c = counts[0][block.index[0]]
             ends = np.append(0, np.cumsum(block.sizes))
@@ -287,17 +308,17 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
-    blocks = scratch.save(scratch.spread(rows).mapInArrow(textkit.task(_blocks), f"block long, ids array<{kind}>, trains array<boolean>, sizes binary, words binary, tokens binary, n long"), "lm-blocks")
+    blocks = scratch.save(scratch.spread(rows).mapInArrow(textkit.task(_blocks), f"block long, ids array<{kind}>, trains array<boolean>, sizes binary, words binary, often binary, tokens binary, n long"), "lm-blocks")
     tokens = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head().n
     shards = max(partitions, math.ceil(3 * tokens / SHARD_KEYS))
     bits = min(64, max(LEAST_BITS, math.ceil(math.log2(tokens + 1)) + MORE_BITS))
     binary = ", ".join(f"{c} binary" for c in _ASKED)
-    asked = blocks.select("block", "trains", "sizes", "words", "tokens").mapInArrow(textkit.task(_asker(shards, bits)), f"shard int, block long, {binary}")
+    asked = blocks.select("block", "trains", "sizes", "words", "often", "tokens").mapInArrow(textkit.task(_asker(shards, bits)), f"shard int, block long, {binary}")
     answers = asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(textkit.task(_answer), "block long, shard int, words binary, bigrams binary, trigrams binary, n long, v long, once long, twice long")
     answers = scratch.save(answers, "lm-answers")
     total = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "twice"))).head()
     none = F.lit(None).cast("binary")
-    left = blocks.select("block", F.lit(-1).alias("shard"), "ids", "trains", "sizes", F.col("words").alias("w"), "tokens", *(none.alias(o) for o in _ORDERS))
+    left = blocks.select("block", F.lit(-1).alias("shard"), "ids", "trains", "sizes", F.col("words").alias("w"), "often", "tokens", *(none.alias(o) for o in _ORDERS))
     met = left.unionByName(answers.select("block", "shard", *_ORDERS), allowMissingColumns=True)
     out = f"doc_id {kind}, trains boolean, n_tokens long, n_known long, base_score double, score double"
     walk = textkit.task(_traverser(total.n, total.v, total.once, total.twice, bits, masses))
