@@ -14,6 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes shuffle files at the end of an execution.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_root: str | None = None
 _saved: list[str] = []
 
@@ -39,11 +42,17 @@ def new_path(spark: SparkSession, name: str, swept: bool = True) -> str:
 def save(df: DataFrame, name: str, swept: bool = True) -> DataFrame:
     """Write the rows as Parquet to the shared folder and return a frame that reads them.
 
-    What is not `swept` stays until it is dropped.
+    What is not `swept` stays until it is dropped.  The shuffle files of the
+    write go when it ends: the saved rows stand for them.
     """
     spark = df.sparkSession
     path = new_path(spark, name, swept)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     saved = spark.read.schema(df.schema).parquet(path)
     saved._scratch_path = path
     return saved
