@@ -10,6 +10,32 @@ def test_lanes(spark):
     assert [r[0] for r in df.select(planner.lane(F.col("b"), F.col("a"))).collect()] == ["none", "size", "size", "slow", "age", "none", "none", "none"]
 
 
+def test_decide_is_the_lane(spark):
+    sizes, ages = [0, 1, 9, 10, 99, 100], [-1, 0, 4, 5, 59, 60, 61]
+    df = spark.createDataFrame([(b, a) for b in sizes for a in ages], "b long, a long")
+    limits = {"size": 100, "slow": 60, "age": 5, "floor": 10}
+    for r in df.withColumn("lane", planner.lane(F.col("b"), F.col("a"), **limits)).collect():
+        assert planner.decide(r.b, r.a, **limits) == r.lane
+
+
+def test_flushes_by_size_and_by_timers(spark, tmp_path):
+    import time
+
+    schema = "g string, size long, t timestamp"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    due = planner.flushes(stream, ["g"], "size", "t", size_at=100, slow=12, age=4, floor=10)
+    got = []
+    q = due.writeStream.outputMode("append").foreachBatch(lambda b, i: got.extend((r.g, r.records, r.staged_bytes, r.lane) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+    rows = [("big", 60), ("big", 60), ("mid", 20), ("small", 1), ("small", None), ("empty", 0), (None, 200)]
+    spark.createDataFrame(rows, "g string, size long").select("*", F.current_timestamp().alias("t")).write.mode("append").parquet(str(tmp_path / "in"))
+    until = time.time() + 90
+    while len(got) < 4 and time.time() < until and q.isActive:
+        time.sleep(0.5)
+    q.stop()
+    assert sorted(got, key=str) == [("big", 2, 120, "size"), ("mid", 1, 20, "age"), ("small", 2, 1, "slow"), (None, 1, 200, "size")]
+
+
 def test_sink_is_idempotent_and_feed_streams(spark, lake, tmp_path):
     df = spark.range(50).select("id", (F.col("id") * 2).alias("x"))
     t = lake.create_table("ns", "t", df.schema)

@@ -218,10 +218,25 @@ def test_schema_evolution(spark, lake):
 
 
 def test_prefix_field_and_shredding(spark, lake):
-    df = spark.createDataFrame([("a", 1)], "k string, n int").withColumn("v", F.parse_json(F.lit("{}")))
+    df = spark.createDataFrame([(4, 1), (42, 2), (4, 3)], "k int, n int").withColumn("v", F.parse_json(F.lit("{}")))
     t = lake.create_table("ns", "pf", df.schema, partition=[("k", "identity")])
+    with pytest.raises(Invalid, match="integer"):
+        t.alter(al.set_object_prefix_field("v"))
     t.alter(al.set_object_prefix_field("k"))
     t.append(df)
+    t.append(df)
+    t.delete("n = 3")
+    mt.compact(t)
+    t.delete("n = 1")
+    for f, x in t.plan():
+        folder = f"{t.row()['location']}/k={f['values'][0]}/"
+        assert f["path"].startswith(folder) and (x is None or x["path"].startswith(folder))
+    assert rows(t.scan().select("k", "n")) == [(42, 2), (42, 2)]
+    for bad in (None, -1):
+        with pytest.raises(Invalid, match="no value of a prefix"):
+            t.append(spark.createDataFrame([(bad, 9)], "k int, n int"))
+    with pytest.raises(Invalid, match="identity"):
+        t.alter(al.set_partition_spec([("k", "bucket[4]")]))
     with pytest.raises(Invalid):
         t.alter(al.rename_column("k", "kk"))
     n = lake.head

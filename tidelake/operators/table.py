@@ -19,9 +19,9 @@ from ..functions import bounds, transforms
 from ..plans import predicates
 from ..sources import dv as dvs
 from ..sources.log import visible
-from ..sources.store import read_bytes, write_bytes
+from ..sources.store import local, read_bytes, write_bytes
 from .catalog import Catalog, Draft, check_conflicts, draft_drop, draft_files
-from .write import stage
+from .write import prefix_folder, stage, stays_under
 
 #: Deleted positions, or files in a file map, that are broadcast at most; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -268,17 +268,48 @@ class Table:
                 if any((s := x["stats"].get(str(f["id"]))) and s.get("nulls") for x in staged):
                     raise Invalid(f"column {f['name']!r} is not nullable and holds nulls")
 
+    def _prefix(self, spec: list[dict], values: list[str | None]) -> str | None:
+        """The folder that files of one partition lie in, where the table has a prefix column."""
+        row = self.row()
+        if (own := row["prefix_field"]) is None:
+            return None
+        (name,) = (f["name"] for f in self.fields() if f["id"] == own)
+        value = next((v for p, v in zip(spec, values, strict=True) if p["field_id"] == own and p["transform"] == "identity"), None)
+        return prefix_folder(local(row["location"]), name, value)
+
+    def place(self, staged: list[dict], spec: list[dict], values: list[str | None] | None = None) -> list[dict]:
+        """Staged files, moved below the folder of their prefix column's value; as they are without such a column.
+
+        Null and negative values have no folder and are refused, before any file moves.
+        """
+        folders = [self._prefix(spec, f["values"] if values is None else values) for f in staged]
+        out = []
+        for f, folder in zip(staged, folders, strict=True):
+            if folder is not None:
+                path = f"{folder}/{uuid.uuid4().hex}.parquet"
+                self.catalog.store.move(f["path"], path)
+                f = {**f, "path": path}
+            out.append(f)
+        return out
+
     def _check_prefix(self, staged: list[dict]) -> None:
+        """Files lie below their value's folder, and their statistics prove that they hold nothing else."""
         if (own := self.row()["prefix_field"]) is None:
             return
+        spec = self.spec()["fields"]
+        (kind,) = (f["type"] for f in self.fields() if f["id"] == own)
         for f in staged:
+            folder = self._prefix(spec, f["values"])
+            if not stays_under(f["path"], folder):
+                raise Invalid(f"{f['path']} does not lie below {folder}")
             s = f["stats"].get(str(own))
-            if f["stats_state"] != "provided" or not s or s.get("nulls") or s.get("lower") is None or s["lower"] != s["upper"]:
+            if f["stats_state"] != "provided" or not s or s.get("nulls") or s.get("lower") is None or s["lower"] != s["upper"] or bounds.decode(kind, bytes.fromhex(s["lower"])) != int(folder.rsplit("=", 1)[1]):
                 raise Invalid("the statistics do not prove that a file holds one value of the prefix column")
 
     def stage(self, df: DataFrame, deferred: bool = False, max_rows: int | None = None) -> list[dict]:
         """Write rows without registering them."""
-        return stage(self.catalog, df, self.fields(), self.spec()["fields"], self.sort(), self.row()["location"], deferred=deferred, max_rows=max_rows)
+        spec = self.spec()["fields"]
+        return self.place(stage(self.catalog, df, self.fields(), spec, self.sort(), self.row()["location"], deferred=deferred, max_rows=max_rows), spec)
 
     def append(self, df: DataFrame, expected_uuid: str | None = None, read_snapshot: int | None = None, key: str | None = None, deferred_stats: bool = False, max_rows: int | None = None, author: str | None = None, message: str | None = None) -> dict[str, Any]:
         """Add rows in one snapshot.  A key makes a retry of the same append return the first result."""
@@ -305,7 +336,7 @@ class Table:
         known = self.spark.createDataFrame([(p, f["record_count"], x["path"] if x else None, x["count"] if x else 0) for p, (f, x) in by_path.items()], "__path string, records long, old string, old_count long") if by_path else None
         if known is None:
             return []
-        folder = f"{self.row()['location']}/vectors"
+        folder = f"{self.row()['location']}/vectors" if self.row()["prefix_field"] is None else None  # None: beside the file
 
         def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             old, old_count, records = rows["old"].iloc[0], rows["old_count"].iloc[0], rows["records"].iloc[0]
@@ -315,7 +346,7 @@ class Table:
             if isinstance(old, str):
                 new = np.union1d(new, dvs.decode(dvs.read_puffin(read_bytes(old)), int(old_count)))
             data, _ = dvs.puffin(dvs.encode(new), len(new), key[0])
-            path = f"{folder}/{uuid.uuid4().hex}.puffin"
+            path = f"{folder or key[0].rsplit('/', 1)[0]}/{uuid.uuid4().hex}.puffin"
             write_bytes(path, data)
             return pd.DataFrame({"path": [key[0]], "vector": [path], "count": [len(new)]})
 

@@ -7,6 +7,7 @@ commit that registers its files.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -23,6 +24,8 @@ from ..sources.store import is_local, local
 
 #: Footers read on the driver at most; more are read by a Spark job.
 FOOTERS_HERE = 64
+#: Types that a prefix column may have.
+PREFIX_TYPES = ("int8", "int16", "int", "long", "uint8", "uint16", "uint32")
 #: Files under this size get no bounds from a deferred hydration.
 SMALL_FILE = 1 << 20
 
@@ -65,6 +68,20 @@ def _wires(fields: list[ty.Field], spec: list[dict]) -> list[Column]:
     return out
 
 
+def prefix_folder(location: str, column: str, value: str | None) -> str:
+    """The folder of all files that hold one value of a prefix column: a decimal without sign or leading zeros."""
+    if value is None or not re.fullmatch("0|[1-9][0-9]{0,18}", value) or int(value) >= 2**63:
+        raise Invalid(f"{value!r} is no value of a prefix")
+    return f"{location}/{column}={value}"
+
+
+def stays_under(path: str, folder: str) -> bool:
+    """Whether a path lies below a folder however a reader may normalise it."""
+    if not path.startswith(f"{folder}/") or re.search(r"[\s\\\x00-\x1f\x7f-\x9f]|%2[eEfF]", path):
+        return False
+    return not {"", ".", ".."} & set(path[len(folder) + 1 :].split("/"))
+
+
 def _unfold(name: str) -> str | None:
     return None if name == "n" else bytes.fromhex(name[1:]).decode()
 

@@ -618,6 +618,18 @@ def flush_planner_lanes(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_type", "records", planner.lane(F.col("bytes"), F.lit(1000), size=2_000_000, floor=1000).alias("lane"))
 
 
+@query("SELECT user_id, count(*) AS records, CAST(sum(octet_length(encode(props))) AS BIGINT) AS staged_bytes, CASE WHEN sum(octet_length(encode(props))) >= 600 THEN 'size' ELSE 'slow' END AS lane FROM events GROUP BY 1")
+def flush_planner_stateful(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of a stream, held as state until one is due by its bytes or its age."""
+    src = load(spark, d, "events")
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("size", F.octet_length("props"))
+    due = planner.flushes(stream, ["user_id"], "size", "ts", size_at=600).drop("first_staged")
+    t = new_table(catalog(spark, d), due)
+    q = due.writeStream.outputMode("append").foreachBatch(ingest.sink(t, f"flushes-{t.id}")).trigger(once=True).option("checkpointLocation", f"{t.catalog.root}/flushes-{t.id}").start()
+    q.awaitTermination()
+    return t.scan()
+
+
 # -- values
 
 
@@ -753,18 +765,23 @@ def alter_sort_order(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.is_sorted(t).agg(F.min("sorted").alias("sorted")).select(F.lit(t.count()).cast("long").alias("n"), "sorted")
 
 
-@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+@query("SELECT c_nationkey, c_nationkey AS folder, count(*) AS n FROM customer WHERE c_custkey % 9 <> 0 GROUP BY 1")
 def object_prefix_field(spark: SparkSession, d: str) -> DataFrame:
-    """Files whose statistics do not prove one value of the prefix column are refused."""
-    src = load(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    t = new_table(catalog(spark, d), src, partition=[("c_mktsegment", "identity")])
-    t.alter(al.set_object_prefix_field("c_mktsegment"))
-    t.append(src)
+    """All files lie in their value's folder, compacted ones too; files whose statistics do not prove one value are refused."""
+    src = load(spark, d, "customer").select("c_custkey", "c_nationkey")
+    t = new_table(catalog(spark, d), src, partition=[("c_nationkey", "identity")])
+    t.alter(al.set_object_prefix_field("c_nationkey"))
+    t.append(src.where("c_custkey % 2 = 0"))
+    t.append(src.where("c_custkey % 2 = 1"))
+    maintenance.compact(t)
+    t.delete("c_custkey % 9 = 0")
     try:
         t.append(src.limit(5), deferred_stats=True)
         raise AssertionError("a file without statistics was accepted")
     except Invalid:
-        return t.scan().groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+        pass
+    of = F.regexp_extract("filename", r"/c_nationkey=(\d+)/[^/]+$", 1)
+    return t.scan(lineage=True).select("c_nationkey", of.cast(src.schema["c_nationkey"].dataType).alias("folder")).groupBy("c_nationkey", "folder").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS kept, CAST(1 AS BIGINT) AS queued, CAST(1 AS BIGINT) AS committed FROM region")

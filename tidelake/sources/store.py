@@ -92,6 +92,19 @@ class Store:
                 out.append((s.getPath().toString(), s.getLen()))
         return sorted(out)
 
+    def move(self, path: str, to: str) -> None:
+        """Rename a file; nothing may be at the new place."""
+        if is_local(path):
+            at = Path(local(to))
+            at.parent.mkdir(parents=True, exist_ok=True)
+            os.rename(local(path), at)
+            return
+        p, fs = self._fs(path)
+        q, _ = self._fs(to)
+        fs.mkdirs(q.getParent())
+        if not fs.rename(p, q):
+            raise OSError(f"{path} could not be moved to {to}")
+
     def delete(self, path: str) -> None:
         if is_local(path):
             at = Path(local(path))
