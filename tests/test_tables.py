@@ -165,6 +165,25 @@ def test_idempotency(spark, lake):
         lake.commit(lambda d: d.changed("table_altered", t.id), key="k", payload="other")
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")  # an empty one has a page of up to 16m
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_scan_of_many_deleted_rows(spark, lake, small_broadcasts):
+    """Positions are not broadcast, however short the list of their files is."""
+    df = spark.range(700_000).coalesce(2).selectExpr("id")
+    t = lake.create_table("ns", "many", df.schema)
+    t.append(df)
+    t.delete("id % 7 <> 3")
+    t.delete("id >= 699992 OR id = 3")
+    left = range(10, 699_992, 7)
+    assert t.scan().agg(F.count("*"), F.min("id"), F.max("id"), F.sum("id")).head() == (len(left), left[0], left[-1], sum(left))
+    assert t.scan(where="id < 40", lineage=True).where("id <> rowid").isEmpty() and rows(t.scan(where="id < 40", columns=["id"])) == [(10,), (17,), (24,), (31,), (38,)]
+
+
 def test_transaction_reads_its_deletes(spark, lake):
     t = lake.create_table("ns", "x", points(spark).schema)
     t.append(points(spark))

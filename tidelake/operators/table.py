@@ -23,8 +23,10 @@ from ..sources.store import local, read_bytes, write_bytes
 from .catalog import Catalog, Draft, check_conflicts, draft_drop, draft_files
 from .write import prefix_folder, stage, stays_under
 
-#: Deleted positions, or files in a file map, that are broadcast at most; beyond it the join shuffles.
+#: Files in a file map that are broadcast at most; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes of deletion vectors, one bit a row, that a task keeps about; it always keeps the last one.
+KEPT_VECTORS = 32 << 20
 #: Most entries of column statistics that one plan carries.
 MOST_STATS = 1_000_000
 
@@ -34,6 +36,38 @@ def bare_path(c: Column) -> Column:
     return F.regexp_replace(c, r"^file:/+", "/")
 
 
+def _outside(vectors: list[tuple[str, int, int]]):
+    """Whether a row is in no deletion vector, from its vector's number and its position.
+
+    Vectors are (path, positions, rows of the file).  Each task reads those of
+    its own files: nothing of them passes the driver, and no row is shuffled.
+    """
+    kept: dict[int, np.ndarray] = {}
+
+    def bits(n: int) -> np.ndarray:
+        if n not in kept:
+            path, count, records = vectors[n]
+            gone = dvs.decode(dvs.read_puffin(read_bytes(path)), count)
+            flags = np.zeros(records, bool)
+            flags[gone[gone < records]] = True
+            own = np.packbits(flags, bitorder="little")
+            if sum(x.nbytes for x in kept.values()) + own.nbytes > KEPT_VECTORS:
+                kept.clear()
+            kept[n] = own
+        return kept[n]
+
+    @F.pandas_udf(T.BooleanType())
+    def outside(nth: pd.Series, pos: pd.Series) -> pd.Series:
+        numbers, at = nth.to_numpy(), pos.to_numpy(np.int64)
+        out = np.ones(len(at), bool)
+        for n in np.unique(numbers):
+            own = np.flatnonzero(numbers == n)
+            out[own] = bits(int(n))[at[own] >> 3] >> (at[own] & 7).astype(np.uint8) & 1 == 0
+        return pd.Series(out)
+
+    return outside
+
+
 class Table:
     def __init__(self, catalog: Catalog, namespace: str, table_id: int):
         self.catalog, self.namespace, self.id = catalog, namespace, table_id
@@ -108,7 +142,7 @@ class Table:
         return rows.select(*columns) if columns else rows
 
     def read(self, plan: list[tuple[dict, dict | None]], fields: list[ty.Field], lineage: bool = False) -> DataFrame:
-        """The rows of planned files.  Only files with a deletion vector take part in the join that applies it."""
+        """The rows of planned files.  Only rows of files with a deletion vector are held against it."""
         out = None
         for explicit in (False, True):
             for deleted in (False, True):
@@ -132,15 +166,12 @@ class Table:
         if not deleted and not lineage:
             return rows.select(*names)
         rows = rows.select("*", bare_path(F.col("_metadata.file_path")).alias("__path"), F.col("_metadata.row_index").alias("__pos"))
+        files = self.spark.createDataFrame([(f["path"], f["row_id_start"], f["begin"], n) for n, (f, _) in enumerate(some)], "__path string, __start long, __begin long, __nth int")
+        rows = rows.join(F.broadcast(files) if len(some) <= BROADCAST_ROWS else files, "__path")
         if deleted:
-            gone = self.positions(some)
-            if sum(x["count"] for _, x in some) <= BROADCAST_ROWS:
-                gone = F.broadcast(gone)
-            rows = rows.join(gone, ["__path", "__pos"], "left_anti")
+            rows = rows.where(_outside([(x["path"], x["count"], f["record_count"]) for f, x in some])("__nth", "__pos"))
         if not lineage:
             return rows.select(*names)
-        files = self.spark.createDataFrame([(f["path"], f["row_id_start"], f["begin"]) for f, _ in some], "__path string, __start long, __begin long")
-        rows = rows.join(F.broadcast(files) if len(some) <= BROADCAST_ROWS else files, "__path")
         rowid = F.col(ty.ROW_ID) if explicit else F.col("__start") + F.col("__pos")
         return rows.select(*names, rowid.alias("rowid"), F.col("__begin").alias("snapshot_id"), F.col("__path").alias("filename"), F.col("__pos").alias("file_row_number"))
 
