@@ -184,6 +184,27 @@ def test_scan_of_many_deleted_rows(spark, lake, small_broadcasts):
     assert t.scan(where="id < 40", lineage=True).where("id <> rowid").isEmpty() and rows(t.scan(where="id < 40", columns=["id"])) == [(10,), (17,), (24,), (31,), (38,)]
 
 
+def test_changes_of_many_rows(spark, lake, small_broadcasts):
+    """Transactions and the change stream take no positions to the driver either."""
+    df = spark.range(700_000).coalesce(1).selectExpr("id", "0L AS g")
+    t = lake.create_table("ns", "many_changes", df.schema)
+    t.append(df)
+    t.delete("id = 0")
+    first = lake.head
+    with Transaction(lake) as tx:
+        tx.delete(t, "id % 7 < 4")
+        assert tx.scan(t).count() == 300_000 and t.count() == 699_999
+        tx.delete(t, "id % 7 = 4")
+        tx.update(t, "id % 7 = 5", {"g": "g + 1"})
+        assert tx.scan(t).agg(F.count("*"), F.min("id"), F.max("id")).head() == (100_000, 6, 699_999)
+    assert t.count() == 200_000 and t.scan().groupBy("g").agg(F.sum(F.col("id") % 7)).orderBy("g").collect() == [(0, 600_000), (1, 500_000)]
+    assert t.changes(first).deleted().agg(F.count("*"), F.min("rowid"), F.max("rowid")).head() == (599_999, 1, 699_998)
+    middle = lake.head
+    t.delete("id % 700 = 6")
+    assert [r.rowid for r in t.changes(middle).deleted().orderBy("rowid").collect()] == list(range(6, 700_000, 700))
+    check_invariants(lake)
+
+
 def test_transaction_reads_its_deletes(spark, lake):
     t = lake.create_table("ns", "x", points(spark).schema)
     t.append(points(spark))

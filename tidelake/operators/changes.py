@@ -39,9 +39,7 @@ class Changes:
         spark = self.table.spark
         if not now:
             return spark.createDataFrame([], "rowid long, data_file_id long, file_row_number long")
-        rows = self.table.positions(now)
-        if old := [(state["files"][str(i)], before[i]) for i in last if i in before]:
-            rows = rows.join(self.table.positions(old), ["__path", "__pos"], "left_anti")
+        rows = self.table.positions(now, before)
         # A rewritten file carries its row ids itself, so they are read from it.
         plain = spark.createDataFrame([(f["path"], f["id"], f["row_id_start"]) for f, _ in now], "__path string, data_file_id long, start long")
         rows = rows.join(F.broadcast(plain) if len(now) <= BROADCAST_ROWS else plain, "__path")

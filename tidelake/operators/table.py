@@ -27,6 +27,8 @@ from .write import prefix_folder, stage, stays_under
 BROADCAST_ROWS = 500_000
 #: Bytes of deletion vectors, one bit a row, that a task keeps about; it always keeps the last one.
 KEPT_VECTORS = 32 << 20
+#: Deleted positions that a task hands on at once.
+POSITIONS_AT_ONCE = 100_000
 #: Most entries of column statistics that one plan carries.
 MOST_STATS = 1_000_000
 
@@ -132,10 +134,13 @@ class Table:
             files = [f for f in files if predicates.file_may_match(f, specs, by_id, wanted)]
         return [(f, vectors.get(f["id"])) for f in files]
 
-    def scan(self, snapshot: int | None = None, timestamp: dt.datetime | None = None, where: str | None = None, columns: list[str] | None = None, lineage: bool = False) -> DataFrame:
-        """The rows at a snapshot or time; `lineage` adds rowid, snapshot_id, filename, file_row_number."""
+    def scan(self, snapshot: int | None = None, timestamp: dt.datetime | None = None, where: str | None = None, columns: list[str] | None = None, lineage: bool = False, vectors: dict[int, dict] | None = None) -> DataFrame:
+        """The rows at a snapshot or time; `lineage` adds rowid, snapshot_id, filename, file_row_number.
+
+        `vectors` stand in for the registered ones, by file id.
+        """
         at = self.catalog.resolve(snapshot, timestamp)
-        plan = self.plan(at, where=where)
+        plan = [(f, (vectors or {}).get(f["id"], x)) for f, x in self.plan(at, where=where)]
         rows = self.read(plan, self.fields(at), lineage)
         if where:
             rows = rows.where(where)
@@ -175,15 +180,20 @@ class Table:
         rowid = F.col(ty.ROW_ID) if explicit else F.col("__start") + F.col("__pos")
         return rows.select(*names, rowid.alias("rowid"), F.col("__begin").alias("snapshot_id"), F.col("__path").alias("filename"), F.col("__pos").alias("file_row_number"))
 
-    def positions(self, some: list[tuple[dict, dict]]) -> DataFrame:
-        """Deleted positions of files, decoded on executors."""
+    def positions(self, some: list[tuple[dict, dict]], before: dict[int, dict]) -> DataFrame:
+        """Positions in files' deletion vectors and not in those before, by file id; decoded on executors."""
 
         def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for path, at, count in b.itertuples(index=False):
-                    yield pd.DataFrame({"__path": path, "__pos": dvs.decode(dvs.read_puffin(read_bytes(at)), count)})
-
-        rows = self.spark.createDataFrame([(f["path"], x["path"], x["count"]) for f, x in some], "path string, at string, count long")
+                for path, at, count, old, old_count in b.itertuples(index=False):
+                    own = dvs.decode(dvs.read_puffin(read_bytes(at)), count)
+                    if isinstance(old, str):
+                        own = np.setdiff1d(own, dvs.decode(dvs.read_puffin(read_bytes(old)), old_count), assume_unique=True)
+                    for i in range(0, len(own), POSITIONS_AT_ONCE):
+                        yield pd.DataFrame({"__path": path, "__pos": own[i : i + POSITIONS_AT_ONCE]})
+
+        olds = [before.get(f["id"]) for f, _ in some]
+        rows = self.spark.createDataFrame([(f["path"], x["path"], x["count"], old["path"] if old else None, old["count"] if old else 0) for (f, x), old in zip(some, olds, strict=True)], "path string, at string, count long, old string, old_count long")
         return rows.repartition(min(len(some), self.spark.sparkContext.defaultParallelism)).mapInPandas(decode, "__path string, __pos long")
 
     def count(self, snapshot: int | None = None) -> int:
@@ -358,31 +368,34 @@ class Table:
         """Positions of the rows that satisfy a condition: (__path, __pos)."""
         return self.scan(snapshot, where=where, lineage=True).select(F.col("filename").alias("__path"), F.col("file_row_number").alias("__pos"))
 
-    def write_vectors(self, positions: DataFrame, at: int) -> list[dict]:
-        """Deletion vectors that unite positions with the ones registered; written on executors, one task per file."""
+    def write_vectors(self, positions: DataFrame, at: int, pending: dict[int, dict] | None = None) -> list[dict]:
+        """Deletion vectors that unite positions with the ones pending, or else registered; written on executors, one task per file."""
         plan = self.plan(at)
-        by_path = {f["path"]: (f, x) for f, x in plan}
-        if len(by_path) < len(plan):
+        if len({f["path"] for f, _ in plan}) < len(plan):
             raise Unsupported("a physical file is registered twice")
-        known = self.spark.createDataFrame([(p, f["record_count"], x["path"] if x else None, x["count"] if x else 0) for p, (f, x) in by_path.items()], "__path string, records long, old string, old_count long") if by_path else None
-        if known is None:
+        if not plan:
             return []
         folder = f"{self.row()['location']}/vectors" if self.row()["prefix_field"] is None else None  # None: beside the file
+        bases = [(pending or {}).get(f["id"], x) for f, x in plan]
+        files = [(f["path"], f["record_count"], x and x["path"], x["count"] if x else 0) for (f, _), x in zip(plan, bases, strict=True)]
+        known = self.spark.createDataFrame([(f[0], n) for n, f in enumerate(files)], "__path string, nth int")
 
         def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            old, old_count, records = rows["old"].iloc[0], rows["old_count"].iloc[0], rows["records"].iloc[0]
+            own, records, old, old_count = files[key[0]]
             new = np.unique(rows["__pos"].to_numpy(np.int64))
             if len(new) and new[-1] >= records:
                 raise ValueError(f"position {new[-1]} is not in a file of {records} rows")
-            if isinstance(old, str):
-                new = np.union1d(new, dvs.decode(dvs.read_puffin(read_bytes(old)), int(old_count)))
-            data, _ = dvs.puffin(dvs.encode(new), len(new), key[0])
-            path = f"{folder or key[0].rsplit('/', 1)[0]}/{uuid.uuid4().hex}.puffin"
+            if old is not None:
+                new = np.union1d(new, dvs.decode(dvs.read_puffin(read_bytes(old)), old_count))
+            data, _ = dvs.puffin(dvs.encode(new), len(new), own)
+            path = f"{folder or own.rsplit('/', 1)[0]}/{uuid.uuid4().hex}.puffin"
             write_bytes(path, data)
-            return pd.DataFrame({"path": [key[0]], "vector": [path], "count": [len(new)]})
+            return pd.DataFrame({"nth": [key[0]], "vector": [path], "count": [len(new)]})
 
-        found = positions.join(F.broadcast(known) if len(by_path) <= BROADCAST_ROWS else known, "__path").groupBy("__path").applyInPandas(write, "path string, vector string, count long").collect()
-        return [{"file_id": by_path[r.path][0]["id"], "path": r.vector, "count": r["count"], "old": by_path[r.path][1]["id"] if by_path[r.path][1] else None, "old_count": by_path[r.path][1]["count"] if by_path[r.path][1] else 0} for r in found]
+        # Numbers of files, not their names, go with each position.
+        numbered = positions.join(F.broadcast(known) if len(files) <= BROADCAST_ROWS else known, "__path").select("nth", "__pos")
+        found = numbered.groupBy("nth").applyInPandas(write, "nth int, vector string, count long").collect()
+        return [{"file_id": f["id"], "path": r.vector, "count": r["count"], "old": x["id"] if x else None, "old_count": x["count"] if x else 0} for r in found for f, x in (plan[r.nth],)]
 
     def delete(self, where: str, **guards: Any) -> dict[str, Any]:
         """Delete rows by deletion vectors; the files stay."""
@@ -480,7 +493,7 @@ class Transaction:
         self.files: dict[int, tuple[Table, list[dict], str | None]] = {}
         self.vectors: dict[int, tuple[Table, list[dict]]] = {}
         self.ends: dict[int, tuple[Table, list[int], str]] = {}
-        self.pending: dict[int, DataFrame] = {}
+        self.pending: dict[int, dict[int, dict]] = {}  # vectors by file id
         self.result: dict[str, Any] = {}
 
     def __enter__(self) -> Transaction:
@@ -502,10 +515,7 @@ class Transaction:
 
     def scan(self, table: Table, **options: Any) -> DataFrame:
         """Rows at the transaction's snapshot, without those it deleted."""
-        rows = table.scan(self.at, **{**options, "lineage": True})
-        if (gone := self.pending.get(table.id)) is not None:
-            rows = rows.join(gone, (rows.filename == gone["__path"]) & (rows.file_row_number == gone["__pos"]), "left_anti")
-        return rows if options.get("lineage") else rows.drop("rowid", "snapshot_id", "filename", "file_row_number")
+        return table.scan(self.at, **options, vectors=self.pending.get(table.id))
 
     def _no_inserts(self, table: Table) -> None:
         if table.id in self.files:
@@ -513,14 +523,11 @@ class Transaction:
 
     def delete_positions(self, table: Table, positions: DataFrame) -> None:
         self._no_inserts(table)
-        if (old := self.pending.get(table.id)) is not None:
-            positions = positions.union(old)
-        vectors = table.write_vectors(positions, self.at)
+        vectors = table.write_vectors(positions, self.at, self.pending.get(table.id))
         if vectors:
-            self.vectors[table.id] = (table, vectors)
-            own = {v["file_id"]: v for v in vectors}
-            new = [({"path": f["path"]}, {"path": own[f["id"]]["path"], "count": own[f["id"]]["count"]}) for f, _ in table.plan(self.at) if f["id"] in own]
-            self.pending[table.id] = table.positions(new)
+            own = self.pending.setdefault(table.id, {})
+            own.update({v["file_id"]: v for v in vectors})
+            self.vectors[table.id] = (table, list(own.values()))
 
     def delete(self, table: Table, where: str) -> None:
         self.delete_positions(table, table.matching(where, self.at))
