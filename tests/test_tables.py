@@ -184,6 +184,27 @@ def test_scan_of_many_deleted_rows(spark, lake, small_broadcasts):
     assert t.scan(where="id < 40", lineage=True).where("id <> rowid").isEmpty() and rows(t.scan(where="id < 40", columns=["id"])) == [(10,), (17,), (24,), (31,), (38,)]
 
 
+def test_vectors_kept_by_a_task(tmp_path, monkeypatch):
+    """However few vectors a task keeps, rows of several files in one batch are held against their own."""
+    import numpy as np
+    import pandas as pd
+
+    from tidelake.operators import table
+    from tidelake.sources import dv
+
+    monkeypatch.setattr(table, "KEPT_VECTORS", 4)
+    rng = np.random.default_rng(1)
+    sets, vectors = [np.unique(rng.integers(0, n, n // 2)) for n in (9, 8, 100, 17)], []
+    for k, own in enumerate(sets):
+        (tmp_path / f"{k}").write_bytes(dv.puffin(dv.encode(own), len(own), "x")[0])
+        vectors.append((f"{tmp_path}/{k}", len(own), (9, 8, 100, 17)[k]))
+    rows = [(k, p) for k, (_, _, n) in enumerate(vectors) for p in range(n)] * 2
+    rng.shuffle(rows)
+    nth, pos = (pd.Series(x) for x in zip(*rows, strict=True))
+    found = table._outside(vectors).func(nth, pos)
+    assert found.tolist() == [p not in sets[k] for k, p in rows]
+
+
 def test_changes_of_many_rows(spark, lake, small_broadcasts):
     """Transactions and the change stream take no positions to the driver either."""
     df = spark.range(700_000).coalesce(1).selectExpr("id", "0L AS g")
